@@ -38,3 +38,25 @@ def span_sha(spans):
 
 def crc(doc_id):
     return zlib.crc32(str(doc_id).encode())
+
+
+def words8(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def leaks(text, items, window=8):
+    """n_words, n_hit, item ids."""
+    w = words8(text)
+    hit, found = set(), set()
+    at = {}
+    for i in range(len(w)):
+        at.setdefault(w[i], []).append(i)
+    for item, t in items:
+        iw = words8(t)
+        n = min(window, len(iw))
+        for k in range(len(iw) - n + 1) if n else ():
+            for i in at.get(iw[k], ()):
+                if w[i : i + n] == iw[k : k + n]:
+                    hit |= set(range(i, i + n))
+                    found.add(str(item))
+    return len(w), len(hit), sorted(found)
