@@ -3,9 +3,9 @@
 A text is cut into pieces by the tokenizer's pattern. A worker keeps what it has encoded, and gives new distinct pieces
 to its own DuckDB, where a row is a token at a position of a piece: a recursive query joins neighbours with the merge
 table and contracts each piece's leftmost pair of least rank until none is left; an ordered aggregation gives the ids
-and, joined with the vocabulary, the bytes that they decode to. The recursion keeps the rows of every round, so a chunk
+and, joined with the vocabulary, the bytes that they decode to. A text's ids and bytes are those of its pieces, joined. The recursion keeps the rows of every round, so a chunk
 holds pieces with a sum of squared lengths of at most CHUNK; pieces longer than LONG bytes are contracted by the same
-rule with a heap. What a worker keeps is cleared at KEEP pieces; results do not depend on it.
+rule with a heap. Beyond KEEP pieces a worker forgets the later half; results do not depend on it.
 
 The vocabulary file is a parameter and is read by each worker from its own installation.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import tempfile
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from .common import pick
 
 CHUNK = 1_000_000
 LONG = 1000
-KEEP = 500_000
+KEEP = 700_000
 
 _ENCODE = """
 with recursive tokens(round, w, pos, id) as (
@@ -47,7 +48,7 @@ with recursive tokens(round, w, pos, id) as (
     )
 ),
 ends as (select w, max(round) as round from tokens group by w)
-select w, count(*) as n, string_agg(t.id::varchar, ' ' order by pos) as ids, unhex(string_agg(v.hex, '' order by pos)) as decoded
+select w, string_agg(t.id::varchar, ' ' order by pos) as ids, unhex(string_agg(v.hex, '' order by pos)) as decoded
 from tokens t join ends using (w, round) join vocabulary v on v.id = t.id
 group by w
 """
@@ -73,7 +74,8 @@ class Encoder:
         self.db.execute("create table merges as from pair_rows; create table vocabulary as from word_rows")
         self.db.unregister("pair_rows")
         self.db.unregister("word_rows")
-        self.kept: dict[str, tuple[int, str, bytes]] = {}
+        self.kept: dict[str, str] = {}  # a piece's ids as text
+        self.odd: dict[str, bytes] = {}  # what a piece's ids decode to, if that is not the piece
 
     def learn(self, pieces: list[str]) -> None:
         """Encodes new pieces, in chunks."""
@@ -81,11 +83,10 @@ class Encoder:
         for p in pieces:
             raw = p.encode()
             if raw in self.ranks:  # a token as a whole, as the contraction would find by rank
-                r = self.ranks[raw]
-                self.kept[p] = (1, str(r), self.tokens[r])
+                self._keep(p, raw, str(self.ranks[raw]), self.tokens[self.ranks[raw]])
             elif len(raw) > LONG:
                 ids = self.contract(raw)
-                self.kept[p] = (len(ids), " ".join(map(str, ids)), b"".join(self.tokens[i] for i in ids))
+                self._keep(p, raw, " ".join(map(str, ids)), b"".join(self.tokens[i] for i in ids))
             else:
                 chunk.append((p, raw))
                 cost += len(raw) ** 2
@@ -102,11 +103,15 @@ class Encoder:
         ids = np.array(self.single, dtype=np.int64)[np.frombuffer(b"".join(raw for _, raw in chunk), dtype=np.uint8)]
         pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         self.db.register("first_rows", pa.table({"w": np.repeat(np.arange(len(n)), n), "pos": pos, "id": ids}))
-        for w, k, text, raw in self.db.execute(_ENCODE).fetchall():
-            p, own = chunk[w]
-            self.kept[p] = (k, text, own if raw == own else raw)
+        for w, ids, decoded in self.db.execute(_ENCODE).fetchall():
+            self._keep(*chunk[w], ids, decoded)
         self.db.unregister("first_rows")
 
+    def _keep(self, piece: str, raw: bytes, ids: str, decoded: bytes) -> None:
+        self.kept[piece] = ids
+        if decoded != raw:
+            self.odd[piece] = decoded
+
     def contract(self, raw: bytes) -> list[int]:
         """The same contraction with a heap of (rank, position), for long pieces."""
         n = len(raw)
@@ -129,9 +134,8 @@ class Encoder:
     def pieces(self, texts: list[str]) -> list[list[str]]:
         found = [self.split(t) for t in texts]
         if len(self.kept) > KEEP:
-            self.kept.clear()
-        new = [p for p in {p for f in found for p in f} if p not in self.kept]
-        self.learn(new)
+            self.kept = dict(itertools.islice(self.kept.items(), KEEP // 2))
+        self.learn([p for p in set(itertools.chain.from_iterable(found)) if p not in self.kept])
         return found
 
 
@@ -167,9 +171,9 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFr
             n, out, raw = [], [], []
             for texts in _batches(b.column(1)):
                 for found in own.pieces(texts):
-                    got = [own.kept[p] for p in found]
-                    n.append(sum(g[0] for g in got))
-                    line, whole = " ".join([g[1] for g in got]), b"".join([g[2] for g in got])
+                    line = " ".join([own.kept[p] for p in found])
+                    whole = b"".join([own.odd.get(p) or p.encode() for p in found]) if own.odd else "".join(found).encode()
+                    n.append(line.count(" ") + 1 if line else 0)
                     out.append(line if ids else hashlib.sha256(line.encode()).hexdigest())
                     raw.append(whole if ids else hashlib.sha256(whole).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(out, pa.string()), pa.array(raw, pa.binary() if ids else pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
