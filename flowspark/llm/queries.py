@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, quality_model, quality_rules, secrets, sharding
+from . import byte_bpe, decontamination, jaccard_join, quality_model, quality_rules, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     out = quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold != 0, fold == 4)
@@ -57,6 +61,7 @@ def op10_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_secret_linking": op5_secret_linking,
     "op6_kd_sharding": op6_kd_sharding,

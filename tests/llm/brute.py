@@ -60,3 +60,35 @@ def leaks(text, items, window=8):
                     hit |= set(range(i, i + n))
                     found.add(str(item))
     return len(w), len(hit), sorted(found)
+
+
+def shingles(text, size):
+    w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in SPACE.findall(text or "")]
+    k = min(size, len(w))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+
+
+def jaccard(docs, size, percent):
+    """n_shingles and component for each (doc_id, text), by comparing all pairs that share a shingle."""
+    sets = [shingles(t, size) for _, t in docs]
+    parent = list(range(len(docs)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    where = {}
+    for i, s in enumerate(sets):
+        count = Counter(j for x in s for j in where.get(x, ()))
+        for j, both in count.items():
+            if 100 * both >= percent * (len(s) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+        for x in s:
+            where.setdefault(x, []).append(i)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            least[top(i)] = min(d, least.get(top(i), d))
+    return Counter((d, len(s), least.get(top(i))) for i, ((d, _), s) in enumerate(zip(docs, sets)))
