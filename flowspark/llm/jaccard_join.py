@@ -46,7 +46,7 @@ class Scheme:
         self.band = band
         self.reach = (hi - 1) * 100 // percent  # the largest set that a set of the band can match
         units = (hi - 1 + self.reach) * (100 - percent) // (100 + percent) + 1
-        best = min(range(units // 2 + 1), key=lambda a: self._cost(lo, units - a, a))
+        best = min(sorted({units // 2 * k // 32 for k in range(33)}), key=lambda a: self._cost(lo, units - a, a))
         small = self._few(lo / (units - best)) * (units - best)
         self.slack = 0 if units - best < 4 else int(np.ceil(small + 2 * np.sqrt(small)))
         self.segments, self.wide = units - best + self.slack, best
@@ -82,22 +82,26 @@ class Scheme:
         return out
 
 
-@functools.lru_cache
-def schemes(percent: int) -> tuple[list[int], list[Scheme]]:
-    lows, found = [1], []
-    while lows[-1] < 2**26:
-        hi = max(lows[-1] + 1, int(lows[-1] * BAND))
-        found.append(Scheme(len(found), lows[-1], hi, percent))
-        lows.append(hi)
-    return lows, found
+def _lows() -> list[int]:
+    out = [1]
+    while out[-1] < 2**40:
+        out.append(max(out[-1] + 1, int(out[-1] * BAND)))
+    return out
+
+
+LOWS = _lows()
+
+
+@functools.lru_cache(maxsize=64)
+def scheme(band: int, percent: int) -> Scheme:
+    return Scheme(band, LOWS[band], LOWS[band + 1], percent)
 
 
 def all_signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
-    lows, found = schemes(percent)
-    b = bisect.bisect_right(lows, len(tokens)) - 1
+    b = bisect.bisect_right(LOWS, len(tokens)) - 1
     use = []
-    while b >= 0 and (found[b].reach >= len(tokens)):
-        use.append(found[b].signatures(tokens))
+    while b >= 0 and (LOWS[b + 1] - 1) * 100 // percent >= len(tokens):
+        use.append(scheme(b, percent).signatures(tokens))
         b -= 1
     return np.unique(np.concatenate(use))
 
