@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, jaccard_join, quality_model, quality_rules, secrets, sharding
+from . import byte_bpe, decontamination, jaccard_join, quality_model, quality_rules, secrets, sharding, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_spans(table(spark, sf_dir, "documents")).drop("runs")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.match_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n = F.size("items").cast("long")
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_secret_linking": op5_secret_linking,
     "op6_kd_sharding": op6_kd_sharding,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_adaptive_rules": op10_adaptive_rules,

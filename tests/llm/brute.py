@@ -92,3 +92,20 @@ def jaccard(docs, size, percent):
         if d is not None:
             least[top(i)] = min(d, least.get(top(i), d))
     return Counter((d, len(s), least.get(top(i))) for i, ((d, _), s) in enumerate(zip(docs, sets)))
+
+
+def repeats(docs, span=100):
+    """(doc_id, n_bytes, n_removed, n_spans, sha) of each (doc_id, text), in the order of the operator."""
+    seen = set()
+    out = Counter()
+    for d, t in sorted(docs, key=lambda x: (x[0] is None, x[0] or 0)):
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - span + 1):
+            w = raw[p : p + span]
+            if w in seen:
+                gone[p : p + span] = b"\x01" * span
+            seen.add(w)
+        spans = sum(1 for i in range(len(raw)) if gone[i] and not (i and gone[i - 1]))
+        out[d, len(raw), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(raw, gone) if not g)).hexdigest()] += 1
+    return out

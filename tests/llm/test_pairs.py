@@ -62,3 +62,22 @@ def test_jaccard_random_groups(spark, odd):
     assert len(kept) == len({c for (_, n, c) in want if n}) + sum(v for (_, n, _), v in want.items() if not n)
     assert Counter((r.doc_id, r.n_shingles) for r in jaccard_join.jaccard_components(odd, 4, 85).collect()) == Counter((x[0], len(brute.shingles(x[1], 4))) for x in ODD)
     assert jaccard_join.jaccard_components(odd.limit(0)).count() == 0 and jaccard_join.keep_one(odd).columns == odd.columns
+
+
+def test_repeats_on_a_whole_table(spark):
+    got = Counter(tuple(r) for r in queries.op7_suffix_dedup(spark, "/root/testdata/sf0.001").collect())
+    assert got == brute.repeats(texts(spark, "/root/testdata/sf0.001"))
+
+
+def test_repeats_random(spark, odd):
+    from flowspark.llm import suffix_dedup
+
+    draw = random.Random(9)
+    line = lambda n, letters="ab é": "".join(draw.choice(letters) for _ in range(n))
+    shared = [line(n) for n in (60, 99, 100, 101, 130, 260, 700)]
+    rows = [(i, "".join(draw.choice([draw.choice(shared), line(draw.randint(0, 90)), "x" * draw.randint(0, 300), "ab" * draw.randint(0, 120)]) for _ in range(draw.randint(0, 6)))) for i in range(120)]
+    rows += [(7000, shared[6]), (7000, shared[6]), (None, shared[6]), (None, None), (8000, "z" * 99), (8001, "z" * 99), (8002, "z" * 100), (8003, "z" * 5000)]
+    out = suffix_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(tuple(r)[:5] for r in out.collect()) == brute.repeats(rows)
+    assert Counter(tuple(r)[:5] for r in suffix_dedup.dedup_spans(odd).collect()) == brute.repeats([x[:2] for x in ODD])
+    assert suffix_dedup.dedup_spans(odd.limit(0)).count() == 0
