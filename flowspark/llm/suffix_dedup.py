@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from .common import cut, pick
 from .hashing import windows
 
-SPAN, GRAM, CELL = 100, 48, 8
+SPAN, GRAM, CELL = 100, 32, 8
 ROOM = SPAN - GRAM  # the largest offset of an anchor in its window
-WIDTH, ANCHOR = 160, 56  # of an aligned fragment, and where its anchor stands
+WIDTH, ANCHOR = 176, 72  # of an aligned fragment, and where its anchor stands
 CHUNK = 60_000
 
 
 def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the anchors and position << 12 | largest offset << 6 | least offset, over all windows of a text."""
+    """Hashes of the anchors and position << 14 | largest offset << 7 | least offset, over all windows of a text."""
     if len(raw) < SPAN:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     h = windows(raw, GRAM)
@@ -51,7 +51,7 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
     end = np.concatenate([start[1:], [len(owner)]]) - 1
     pos = owner[start]
-    return h[pos].view(np.int64), pos << 12 | (pos - start) << 6 | (pos - end)
+    return h[pos].view(np.int64), pos << 14 | (pos - start) << 7 | (pos - end)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,17 +68,20 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of equal fragments in a stretch of texts only the earliest goes on; a task's rows so grow with its text alone."""
     for b in batches:
-        rows: list[tuple] = []
+        rows: dict[tuple, tuple] = {}
         for uid, ord_, t, found in zip(*[c.to_pylist() for c in b.columns]):
-            raw = (t or "").encode()
+            raw = t.encode()
             for x in found:
-                pos, hi, lo = x["at"] >> 12, x["at"] >> 6 & 63, x["at"] & 63
-                rows.append((x["h"], hi, lo, raw[pos - hi : pos - lo + SPAN], ord_, uid, pos))
-            if len(rows) > 50_000:
-                yield _fragments(rows)
-                rows = []
-        yield _fragments(rows)
+                pos, hi, lo = x["at"] >> 14, x["at"] >> 7 & 127, x["at"] & 127
+                key, place = (x["h"], hi, lo, raw[pos - hi : pos - lo + SPAN]), (ord_, uid, pos)
+                if key not in rows or place < rows[key]:
+                    rows[key] = place
+            if len(rows) > 100_000:
+                yield _fragments([(*k, *v) for k, v in rows.items()])
+                rows = {}
+        yield _fragments([(*k, *v) for k, v in rows.items()])
 
 
 _FRAGMENT = pa.schema([("h", pa.int64()), ("hi", pa.int32()), ("lo", pa.int32()), ("bytes", pa.binary()), ("ord", pa.int64()), ("uid", pa.int64()), ("pos", pa.int64())])
@@ -106,11 +109,12 @@ def repeated_windows(h: np.ndarray, hi: np.ndarray, lo: np.ndarray, parts: list[
         lines[s : s + len(p)] = p
     word = np.frombuffer(bytes(lines), dtype="<u8").reshape(n, WIDTH // CELL)
     group = _dense(h)
-    one = {q: _dense(word[:, q]) for q in range(1, 19)}
-    two = {q: _dense(one[q], one[q + 1]) for q in range(1, 18)}
-    four = {q: _dense(two[q], two[q + 2]) for q in range(1, 16)}
-    eight = {q: _dense(four[q], four[q + 4]) for q in range(1, 12)}
-    cover = {q: _dense(group, eight[q], two[q + 8], one[q + 10]) for q in range(1, 8)}  # 88 bytes from each sample position
+    last = ANCHOR // CELL  # the sample positions from which 88 bytes are ranked: 1 to last
+    one = {q: _dense(word[:, q]) for q in range(1, last + 11)}
+    two = {q: _dense(one[q], one[q + 1]) for q in range(1, last + 10)}
+    four = {q: _dense(two[q], two[q + 2]) for q in range(1, last + 5)}
+    eight = {q: _dense(four[q], four[q + 4]) for q in range(1, last + 1)}
+    cover = {q: _dense(group, eight[q], two[q + 8], one[q + 10]) for q in range(1, last + 1)}
     out = np.zeros((n, ROOM + 1), dtype=bool)
     for r in range(ROOM + 1):  # one suffix bucket at a time
         i = np.flatnonzero((lo <= r) & (r <= hi))
@@ -153,7 +157,7 @@ _SETTLED = pa.schema([("uid", pa.int64()), ("pos", pa.int64()), ("runs", pa.list
 
 
 def _settled(t: pa.Table) -> pa.RecordBatch:
-    t = t.sort_by([("none", "ascending"), ("ord", "ascending"), ("uid", "ascending"), ("pos", "ascending")])
+    t = t.sort_by([("ord", "ascending"), ("uid", "ascending"), ("pos", "ascending")])
     h, hi, lo, uid, pos = (t.column(c).to_numpy() for c in ("h", "hi", "lo", "uid", "pos"))
     gone = repeated_windows(h, hi, lo, t.column("bytes").to_pylist())
     runs: list[list[int]] = [[] for _ in range(len(h))]
@@ -192,29 +196,32 @@ def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and runs (flat firsts and ends of removed bytes)."""
+    last = F.lit(2**63 - 1)  # where rows without doc_id stand
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("uid"), F.coalesce("text", F.lit("")).alias("text"))
-    same = rows.groupBy("doc_id", "uid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")).agg(F.count(F.lit(1)).alias("times"))
+    rows = rows.withColumn("ord", F.coalesce("doc_id", last))
+    same = rows.groupBy("doc_id", "ord", "uid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")).agg(F.count(F.lit(1)).alias("times"))
     same = cut(same, "dedup-rows")
-    first = same.groupBy("uid").agg(F.min("doc_id").alias("ord"))  # nulls only if there is nothing else
+    first = same.groupBy("uid").agg(F.min("ord").alias("ord"))
     met = rows.select("uid", "text").mapInArrow(_anchor_rows, "h long, uid long, at long")
     met = met.selectExpr("*", "xxhash64(uid, at) as place").selectExpr("h", "uid", "at", "min(place) over (partition by h) as p0", "max(place) over (partition by h) as p1").filter("p0 <> p1")
     met = cut(met.select("h", "uid", "at").distinct(), "dedup-anchors")
     per_text = met.groupBy("uid").agg(F.collect_list(F.struct("h", "at")).alias("found")).join(first, "uid")
     parts = _one_row(rows, per_text).select("uid", "ord", "text", "found").mapInArrow(_fragment_rows, "h long, hi int, lo int, bytes binary, ord long, uid long, pos long")
-    place = F.min(F.struct(F.col("ord").isNull().alias("none"), "ord", "uid", "pos")).alias("p")
-    parts = parts.groupBy("h", "hi", "lo", "bytes").agg(place).select("h", "hi", "lo", "bytes", F.col("p.none").cast("int").alias("none"), "p.ord", "p.uid", "p.pos")
-    settled = parts.repartition("h").sortWithinPartitions("h").mapInArrow(_resolve, "uid long, pos long, runs array<long>")
+    place = F.min(F.struct("ord", "uid", "pos")).alias("p")
+    parts = parts.repartition("h").groupBy("h", "hi", "lo", "bytes").agg(place).select("h", "hi", "lo", "bytes", "p.ord", "p.uid", "p.pos")
+    settled = parts.sortWithinPartitions("h").mapInArrow(_resolve, "uid long, pos long, runs array<long>")
     settled = cut(settled, "dedup-settled")
-    pos = F.shiftright("at", 12)
-    copies = met.withColumn("pos", pos).join(settled.select("uid", "pos"), ["uid", "pos"], "left_anti").select("uid", (F.col("pos") - F.shiftright("at", 6).bitwiseAND(63)).alias("a"), (F.col("pos") - F.col("at").bitwiseAND(63) + SPAN).alias("z"))
+    pos = F.shiftright("at", 14)
+    copies = met.withColumn("pos", pos).join(settled.select("uid", "pos"), ["uid", "pos"], "left_anti").select("uid", (F.col("pos") - F.shiftright("at", 7).bitwiseAND(127)).alias("a"), (F.col("pos") - F.col("at").bitwiseAND(127) + SPAN).alias("z"))
     pairs = F.expr("transform(sequence(1, size(runs) div 2), i -> struct(runs[2 * i - 2] as a, runs[2 * i - 1] as z))")
     found = settled.filter(F.size("runs") > 0).select("uid", F.explode(pairs).alias("x")).select("uid", "x.a", "x.z")
     per_text = copies.unionByName(found).groupBy("uid").agg(F.collect_list(F.struct("a", "z")).alias("found")).join(first, "uid")
     done = _one_row(rows, per_text).select("uid", "text", "found").mapInArrow(_cut_text, "uid long, gone long, spans long, sha string, runs array<long>")
     done = done.withColumnsRenamed({"sha": "kept", "spans": "n"})
-    out = same.withColumn("turn", F.explode(F.expr("sequence(1L, times)"))).join(first, "uid").join(done, "uid", "left")
-    copy = ~(F.col("doc_id").eqNullSafe(F.col("ord")) & (F.col("turn") == 1)) & (F.col("n_bytes") >= SPAN)
-    head = ~copy & F.col("kept").isNotNull() & F.col("doc_id").eqNullSafe(F.col("ord")) & (F.col("turn") == 1)
+    out = same.withColumn("turn", F.explode(F.expr("sequence(1L, times)"))).join(first.withColumnRenamed("ord", "least"), "uid").join(done, "uid", "left")
+    leads = (F.col("ord") == F.col("least")) & (F.col("turn") == 1)
+    copy = ~leads & (F.col("n_bytes") >= SPAN)
+    head = leads & F.col("kept").isNotNull()
     none = F.array().cast("array<long>")
     return out.select(
         "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).when(head, F.col("gone")).otherwise(0).cast("long").alias("n_removed"), F.when(copy, 1).when(head, F.col("n")).otherwise(0).cast("long").alias("n_spans"),
@@ -223,6 +230,6 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
 
 
 def _one_row(rows: DataFrame, small: DataFrame) -> DataFrame:
-    """small (one row a text) with the text, from the text's first row: by doc_id too, so that copies don't meet."""
-    both = rows.withColumnsRenamed({"uid": "r_uid"}).join(small, (F.col("r_uid") == F.col("uid")) & F.col("doc_id").eqNullSafe(F.col("ord"))).drop("r_uid", "doc_id")
-    return both.dropDuplicates(["uid"])
+    """small (one row a text: uid, ord) with the text, from the text's first row. The join is by doc_id too, so copies
+    don't meet, and equal rows are then already beside each other."""
+    return rows.select("uid", "ord", "text").join(small, ["uid", "ord"]).dropDuplicates(["uid", "ord"])
