@@ -8,9 +8,10 @@ neighbourhoods for small sets, many plain ones for large sets. The slack pays fo
 most one shingle, which too many sets share; a set with more of them than the slack emits them all, so no pair is lost.
 A set uses its own band's scheme and those of the lower bands whose sets it can match.
 
-Equal sets are one class. Of all classes in a signature, each is first paired with the least one only; pairs pass a
-length bound and a bound from parity sketches, and are then verified on whole sets. After that only classes in
-different components still need comparing, so a large group of copies of one text never becomes all its pairs.
+Equal sets are one class. Each class is first verified against one leader, of the least classes of its signatures the
+one that it shares most with. After that only classes of a signature that are in different components still need
+comparing, so a large group of near copies never becomes all its pairs. Sizes and parity sketches bound the difference
+from below inside that join, so that few pairs come out of it; those are verified on whole sets.
 
 Shingles, sets and signatures stand as 64-bit hashes: 1e9 different ones hold a false match with a chance of 3 %.
 Nulls: a null text is empty; empty texts link with nothing. A null doc_id takes part like any row, and a component's
@@ -27,13 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, pick, row_key
 from .hashing import mix, shingle_set, word_hashes
 
 BAND = 1.2
+SMALL = 3  # shingles of a segment that too many sets may share
 SKETCH = 8  # longs of 64 parity bits
 #: The cost model: chance that related but different sets agree on a shingle, and the weight of a chance meeting.
 AGREE, MEETING = 0.35, 200.0
@@ -48,13 +50,18 @@ class Scheme:
         units = (hi - 1 + self.reach) * (100 - percent) // (100 + percent) + 1
         best = min(sorted({units // 2 * k // 32 for k in range(33)}), key=lambda a: self._cost(lo, units - a, a))
         small = self._few(lo / (units - best)) * (units - best)
-        self.slack = 0 if units - best < 4 else int(np.ceil(small + 2 * np.sqrt(small)))
+        self.slack = 0 if units - best < 4 else int(np.ceil(1.2 * small + 2 * np.sqrt(small)))
         self.segments, self.wide = units - best + self.slack, best
         self.tag = mix(np.arange(self.segments, dtype=np.uint64) + np.uint64((band + 1) << 32))
 
     @staticmethod
     def _few(mean: float) -> float:
-        return float(np.exp(-mean) * (1 + mean))
+        """Chance that a segment holds at most SMALL shingles, of `mean` expected."""
+        term, total = np.exp(-mean), 0.0
+        for k in range(SMALL + 1):
+            total += term
+            term *= mean / (k + 1)
+        return float(total)
 
     @staticmethod
     def _cost(lo: int, segments: int, wide: int) -> float:
@@ -71,7 +78,7 @@ class Scheme:
         end = np.cumsum(count)
         total = upto[end] - upto[end - count]
         out = mix(total ^ self.tag)
-        few = count <= 1
+        few = count <= SMALL
         few[: self.wide] = False
         if few.sum() <= self.slack:
             out = out[~few]
@@ -197,34 +204,37 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[
     sigs = rows.select("text").mapInArrow(_emit(size, percent), "sig long, key long")
     met = sigs.selectExpr("sig", "key", "min(key) over (partition by sig) as leader", "max(key) over (partition by sig) as last").filter("leader <> last").select("sig", "key", "leader").distinct()
     met = cut(met, "jaccard-met")
+    labels = cut(met.select("key").distinct().withColumn("comp", F.col("key")), "jaccard-labels")
+    # First each class with the leader that shares most signatures with it; then whoever is still apart.
     stars = met.filter("key <> leader").groupBy(F.col("leader").alias("a"), F.col("key").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    stars = stars.groupBy("b").agg(F.max(F.struct("shared", "a"))["a"].alias("a")).select("a", "b")
     stars = cut(_possible(stars, classes, percent), "jaccard-stars")
-    labels = cut(met.select("key").distinct().withColumn("comp", F.col("key")), "jaccard-labels")
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    tokens = cut(_tokens(rows, classes, wanted, size), "jaccard-tokens")
-    # The leader with which a class shares most signatures, then the other leaders, then whoever is still apart.
-    first = stars.withColumn("place", F.expr("row_number() over (partition by b order by shared desc, a)")).filter("place = 1").select("a", "b")
-    labels = components(labels, _similar(first, tokens, percent))
-    labels = components(labels, _similar(_apart(stars.select("a", "b"), labels), tokens, percent))
+    tokens = cut(_tokens(rows, classes, stars.select(F.explode(F.array("a", "b")).alias("key")).distinct(), size), "jaccard-tokens")
+    labels = components(labels, _similar(stars, tokens, percent))
     there = met.select("sig", "key").join(labels, "key")
-    mixed = cut(there.selectExpr("*", "min(comp) over (partition by sig) as c0", "max(comp) over (partition by sig) as c1").filter("c0 <> c1").select("sig", "key", "comp"), "jaccard-mixed")
-    left = mixed.alias("p").join(mixed.alias("q"), (F.col("p.sig") == F.col("q.sig")) & (F.col("p.key") < F.col("q.key")) & (F.col("p.comp") != F.col("q.comp"))).select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct()
-    left = left.join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    left = cut(_possible(left.withColumn("shared", F.lit(1)), classes, percent).select("a", "b"), "jaccard-left")
+    mixed = there.selectExpr("*", "min(comp) over (partition by sig) as c0", "max(comp) over (partition by sig) as c1").filter("c0 <> c1").select("sig", "key", "comp")
+    mixed = cut(mixed.join(classes.select("key", "n", "bits"), "key"), "jaccard-mixed")
+    side = lambda x: mixed.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "comp", "n", "bits")])
+    apart = (F.col("key_a") < F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & _allowed(percent)
+    left = side("a").join(side("b").withColumnRenamed("sig", "sig_b"), (F.col("sig") == F.col("sig_b")) & apart).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = cut(left.join(known, ["a", "b"], "left_anti"), "jaccard-left")
     if not left.isEmpty():
         more = left.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(tokens.select("key"), "key", "left_anti")
-        tokens = tokens.unionByName(_tokens(rows, classes, more, size))
+        tokens = cut(tokens.unionByName(_tokens(rows, classes, more, size)), "jaccard-more")
         labels = components(labels, _similar(left, tokens, percent))
     return described, labels
 
 
+def _allowed(percent: int) -> Column:
+    """What sizes and parity sketches allow: differing bits are differing shingles, at least."""
+    differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+
+
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that their sizes and parity sketches allow: differing bits are differing shingles, at least."""
     side = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    out = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
-    both = F.col("n_a") + F.col("n_b")
-    return out.filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (differ * (100 + percent) <= both * (100 - percent))).select("a", "b", "shared")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_allowed(percent)).select("a", "b")
 
 
 def _tokens(rows: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -241,11 +251,6 @@ def _similar(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return cut(out.filter((F.size("t_a") + F.size("t_b") - F.col("both")) * percent <= F.col("both") * 100).select("a", "b"), "jaccard-links")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    side = lambda c, x: labels.select(F.col("key").alias(c), F.col("comp").alias(x))
-    return cut(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter("x <> y").select("a", "b"), "jaccard-apart")
-
-
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, row, n_shingles, component_id: one row for each row of docs."""
     described, labels = similar_classes(docs, size, percent)
