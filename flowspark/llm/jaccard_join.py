@@ -36,7 +36,8 @@ from .hashing import mix, shingle_set, word_hashes
 
 BAND = 1.2
 SMALL = 3  # shingles of a segment that too many sets may share
-SKETCH = 8  # longs of 64 parity bits
+SKETCH = 8  # longs of 64 parity bits, at least
+LEADERS, ROUNDS = (4, 32, 32), 3
 #: The cost model: chance that related but different sets agree on a shingle, and the weight of a chance meeting.
 AGREE, MEETING = 0.35, 200.0
 
@@ -118,8 +119,12 @@ def class_key(tokens: np.ndarray) -> int:
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    bit = np.bincount((mix(tokens ^ np.uint64(77)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(bit.astype(np.uint8)).view(np.int64)
+    """Parity bits, a power of two of them and at least 0.4 for each shingle; halves xor to the sketch of half the size."""
+    bits = 64 * SKETCH
+    while bits < 0.4 * len(tokens):
+        bits *= 2
+    odd = np.bincount((mix(tokens ^ np.uint64(77)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _sets(batch: pa.RecordBatch, column: int, size: int) -> Iterator[np.ndarray]:
@@ -205,31 +210,43 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[
     met = sigs.selectExpr("sig", "key", "min(key) over (partition by sig) as leader", "max(key) over (partition by sig) as last").filter("leader <> last").select("sig", "key", "leader").distinct()
     met = cut(met, "jaccard-met")
     labels = cut(met.select("key").distinct().withColumn("comp", F.col("key")), "jaccard-labels")
-    # First each class with the leader that shares most signatures with it; then whoever is still apart.
-    stars = met.filter("key <> leader").groupBy(F.col("leader").alias("a"), F.col("key").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    stars = stars.groupBy("b").agg(F.max(F.struct("shared", "a"))["a"].alias("a")).select("a", "b")
-    stars = cut(_possible(stars, classes, percent), "jaccard-stars")
-    tokens = cut(_tokens(rows, classes, stars.select(F.explode(F.array("a", "b")).alias("key")).distinct(), size), "jaccard-tokens")
-    labels = components(labels, _similar(stars, tokens, percent))
-    there = met.select("sig", "key").join(labels, "key")
-    mixed = there.selectExpr("*", "min(comp) over (partition by sig) as c0", "max(comp) over (partition by sig) as c1").filter("c0 <> c1").select("sig", "key", "comp")
+    # First each class with the leaders that share most signatures with it, then with other leaders of signatures whose
+    # classes are still apart, while that links any; at last all that is apart.
+    mixed, known, tokens = met.withColumns({"comp": F.col("key"), "other": F.col("leader")}), None, None
+    for turn in range(ROUNDS):
+        stars = mixed.filter("comp <> other").groupBy(F.col("leader").alias("a"), F.col("key").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+        stars = stars.withColumn("place", F.expr("row_number() over (partition by b order by shared desc, a)")).filter(f"place <= {LEADERS[turn]}").select("a", "b")
+        stars = cut(_possible(stars if known is None else stars.join(known, ["a", "b"], "left_anti"), classes, percent), "jaccard-stars")
+        known = stars if known is None else known.unionByName(stars)
+        wanted = stars.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        new = _tokens(rows, classes, wanted if tokens is None else wanted.join(tokens.select("key"), "key", "left_anti"), size)
+        tokens = cut(new, "jaccard-tokens") if tokens is None else tokens.unionByName(cut(new, "jaccard-tokens"))
+        links = _similar(stars, tokens, percent)
+        labels = components(labels, links)
+        there = mixed.select("sig", "key").join(labels, "key")
+        mixed = there.selectExpr("*", "min(comp) over (partition by sig) as c0", "max(comp) over (partition by sig) as c1", f"min(struct(xxhash64(key, {turn}) as x, key, comp)) over (partition by sig) as lead")
+        mixed = cut(mixed.filter("c0 <> c1").select("sig", "key", "comp", F.col("lead.key").alias("leader"), F.col("lead.comp").alias("other")), "jaccard-mixed")
+        if links.isEmpty():
+            break
     mixed = cut(mixed.join(classes.select("key", "n", "bits"), "key"), "jaccard-mixed")
     side = lambda x: mixed.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "comp", "n", "bits")])
     apart = (F.col("key_a") < F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & _allowed(percent)
     left = side("a").join(side("b").withColumnRenamed("sig", "sig_b"), (F.col("sig") == F.col("sig_b")) & apart).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
-    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = cut(left.join(known, ["a", "b"], "left_anti"), "jaccard-left")
     if not left.isEmpty():
         more = left.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(tokens.select("key"), "key", "left_anti")
-        tokens = cut(tokens.unionByName(_tokens(rows, classes, more, size)), "jaccard-more")
+        tokens = tokens.unionByName(cut(_tokens(rows, classes, more, size), "jaccard-tokens"))
         labels = components(labels, _similar(left, tokens, percent))
     return described, labels
 
 
 def _allowed(percent: int) -> Column:
     """What sizes and parity sketches allow: differing bits are differing shingles, at least."""
-    differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
-    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+    m = F.least(F.size("bits_a"), F.size("bits_b"))
+    fold = lambda x: F.when(F.size(x) == m, F.col(x)).otherwise(F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.get(x, i).bitwiseXOR(F.get(x, i + m))))
+    differ = F.aggregate(F.zip_with(fold("bits_a"), fold("bits_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return F.when(sizes, differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).otherwise(False)
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
