@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -38,18 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again, so that a lost executor costs no earlier stage.
 
-    The folder goes when the driver's Python ends. Shuffle files of finished jobs go once the driver's JVM has
-    collected their handles, which is asked for here.
+    The folder goes when the driver's Python ends. Shuffle files of earlier jobs go once the driver's JVM has
+    collected their handles, which is asked for before the next job fills the disks.
     """
     spark = df.sparkSession
     top = f"{shared_dir(spark)}/flowspark-{spark.sparkContext.applicationId}"
     path = f"{top}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     df.write.parquet(path)
     if top not in _made:
         _made.add(top)
         atexit.register(_remove, spark, top)
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
