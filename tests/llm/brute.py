@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -109,3 +109,41 @@ def repeats(docs, span=100):
         spans = sum(1 for i in range(len(raw)) if gone[i] and not (i and gone[i - 1]))
         out[d, len(raw), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(raw, gone) if not g)).hexdigest()] += 1
     return out
+
+
+def ppm(docs, order):
+    """n_tokens, n_known, N, base, score of each (text, trains), from a trie in plain dicts."""
+    import math
+
+    trie, words = defaultdict(Counter), Counter()
+    symbols = lambda t: [*(t or "").encode(), 0xFF]
+    tokens = lambda t: [*(t or "").encode().lower().split(), None]
+    for t, trains in docs:
+        if trains:
+            line = [0xFE] * order + symbols(t)
+            for i in range(order, len(line)):
+                for k in range(order + 1):
+                    trie[tuple(line[i - k : i])][line[i]] += 1
+            words.update(tokens(t))
+    n, v = sum(words.values()), len(words)
+    out = []
+    for t, _ in docs:
+        line = [0xFE] * order + symbols(t)
+        score = 0.0
+        for i in range(order, len(line)):
+            out_of, p = set(), 1.0
+            for k in range(order, -1, -1):
+                seen = {s: c for s, c in trie[tuple(line[i - k : i])].items() if s not in out_of}
+                total = sum(seen.values()) + len(seen)
+                if line[i] in seen:
+                    p *= seen[line[i]] / total
+                    break
+                if seen:
+                    p *= len(seen) / total
+                out_of |= set(seen)
+            else:
+                p /= max(1, 256 - len(out_of))
+            score += math.log10(p)
+        w = tokens(t)
+        out.append((len(w), sum(words[x] > 0 for x in w), n, sum(math.log10((words[x] + 1) / ((n + 1) * (v + 1))) for x in w), score))
+    return out

@@ -1,0 +1,100 @@
+import gzip
+import re
+
+import duckdb
+import public_tokenizers
+
+import corpus_pipeline
+from flowspark.llm import queries, revisits
+from tests.llm import brute
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_revisits_match_sql(spark):
+    db = duckdb.connect()
+    db.execute(f"create view pages as from '{SF}/pages.parquet'")
+    rel = db.execute(queries.SQL["op2_warc_revisits"])
+    names = [d[0] for d in rel.description]
+    want = sorted(rel.fetchall(), key=str)
+    got = queries.op2_warc_revisits(spark, SF)
+    assert got.columns == names and sorted(map(tuple, got.collect()), key=str) == want
+    assert {r[2] for r in want} == {True, False}
+
+
+def test_revisit_rules(spark):
+    rows = [
+        ("1", "http://www.Host.example:80/a/?utm_source=x&q=1#f", 10, "response", "d1", {"etag": '"x"', "content-type": "t"}),
+        ("2", "https://host.example/a?q=1", 20, "revisit", None, {"etag": 'W/"x"', "content-type": "no", "vary": "v"}),
+        ("3", "https://host.example/a?q=1", 30, "response", "d3", None),
+        ("4", "https://host.example/a?q=1", 40, "revisit", "d3", {"etag": '"x"'}),
+        ("5", "https://host.example/a?q=1", 40, "revisit", "d1", None),
+        ("6", "https://host.example/a?q=1", 5, "revisit", "d1", None),
+        ("7", None, 50, "revisit", "d1", None), ("8", "https://host.example/a?q=1", None, "revisit", "d3", None), (None, "x", 1, "request", None, None),
+    ]
+    captures = spark.createDataFrame(rows, "record_id string, url string, ts long, kind string, digest string, headers map<string,string>")
+    for size in (200_000, 1):
+        revisits.SLICE_ROWS = size
+        out = {r.record_id: r for r in revisits.resolve_revisits(captures).collect()}
+        assert {k: r.source_id for k, r in out.items()} == {"2": "1", "4": "3", "5": None, "6": None, "7": None, "8": None}
+        assert out["2"].headers == {"etag": 'W/"x"', "content-type": "t", "vary": "v"} and out["2"].canonical_url == "host.example/a?q=1"
+    revisits.SLICE_ROWS = 200_000
+    assert revisits.resolve_revisits(captures.limit(0)).count() == 0
+
+
+def test_warc_files(spark, tmp_path):
+    def record(i, kind, block):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{i}>\r\nWARC-Target-URI: http://h.example/\r\nWARC-Date: 2024-01-01T00:00:0{i}Z\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    both = [record(1, "response", b'HTTP/1.1 200 OK\r\nETag: "a"\r\n\r\nbody\r\n\r\nWARC/x'), record(2, "revisit", b'HTTP/1.1 304 Not Modified\r\nETag: "a"\r\n\r\n')]
+    (tmp_path / "a.warc").write_bytes(b"".join(both))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, both)))
+    for name in ("a.warc", "b.warc.gz"):
+        rows = revisits.read_warc(spark, f"file://{tmp_path}/{name}")
+        assert [(r.kind, bytes(r.body), r.headers) for r in rows.orderBy("ts").collect()] == [("response", b"body\r\n\r\nWARC/x", {"etag": '"a"'}), ("revisit", b"", {"etag": '"a"'})]
+        assert revisits.resolve_revisits(rows).first().source_id == "<1>"
+
+
+def test_stages(spark, tmp_path):
+    """Each stage against a plain version on its own input; the ids of the last decode to its input."""
+    import base64
+
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    tik = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = queries.table(spark, SF, "documents")
+    labels = {r.doc_id: r.quality for r in queries.table(spark, SF, "labels").collect()}
+    items = [tuple(r) for r in queries.table(spark, SF, "benchmark").collect()]
+    read = {r.doc_id: r.text for r in docs.collect()}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(f"file://{tmp_path}/{i}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{i}")
+        rows = docs.collect()
+        if i < 4:
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            kept = {r.doc_id: r.text for r in rows}
+        if i == 0:
+            assert all(kept[d] == read[d] for d in kept) and sum(labels.get(d) == 1 for d in kept) == sum(labels.values()) and sum(labels.get(d) == 0 for d in kept) <= 2
+        elif i == 1:
+            group = {d: c for (d, _, c) in brute.jaccard(list(read.items()), 5, 80)}
+            assert set(kept) == {d for d, c in group.items() if d == c}
+        elif i == 2:
+            for d, t in read.items():
+                n, hit, _ = brute.leaks(t, items)
+                assert (d not in kept) == (2 * hit > n) and (hit or kept.get(d) == t)
+                assert d not in kept or len(brute.words8(kept[d])) == n - hit
+        elif i == 3:
+            assert set(kept) == set(read)
+            for d, t in read.items():
+                spans, at, out = brute.base_spans(t), 0, []
+                for s, _, e in spans:
+                    if s >= at:
+                        out += [t[at:s], "[SECRET]"]
+                    at = max(at, e)
+                assert kept[d] == "".join([*out, t[at:]]) or re.search(r"(?i)user|login|account|key_?id|client_?id", t)
+        else:
+            assert {r.doc_id: tik.decode([int(x) for x in r.ids.split()]) for r in rows} == read
+            assert all(r.n_tokens == len(tik.encode_ordinary(read[r.doc_id])) for r in rows)
+        read = kept
