@@ -73,9 +73,10 @@ def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rows: dict[tuple, tuple] = {}
         for uid, ord_, t, found in zip(*[c.to_pylist() for c in b.columns]):
             raw = t.encode()
-            for x in found:
-                pos, hi, lo = x["at"] >> 14, x["at"] >> 7 & 127, x["at"] & 127
-                key, place = (x["h"], hi, lo, raw[pos - hi : pos - lo + SPAN]), (ord_, uid, pos)
+            h = windows(np.frombuffer(raw, dtype=np.uint8), GRAM).view(np.int64)
+            for at in found:
+                pos, hi, lo = at >> 14, at >> 7 & 127, at & 127
+                key, place = (int(h[pos]), hi, lo, raw[pos - hi : pos - lo + SPAN]), (ord_, uid, pos)
                 if key not in rows or place < rows[key]:
                     rows[key] = place
             if len(rows) > 100_000:
@@ -205,7 +206,7 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     met = rows.select("uid", "text").mapInArrow(_anchor_rows, "h long, uid long, at long")
     met = met.selectExpr("*", "xxhash64(uid, at) as place").selectExpr("h", "uid", "at", "min(place) over (partition by h) as p0", "max(place) over (partition by h) as p1").filter("p0 <> p1")
     met = cut(met.select("h", "uid", "at").distinct(), "dedup-anchors")
-    per_text = met.groupBy("uid").agg(F.collect_list(F.struct("h", "at")).alias("found")).join(first, "uid")
+    per_text = met.groupBy("uid").agg(F.collect_list("at").alias("found")).join(first, "uid")
     parts = _one_row(rows, per_text).select("uid", "ord", "text", "found").mapInArrow(_fragment_rows, "h long, hi int, lo int, bytes binary, ord long, uid long, pos long")
     place = F.min(F.struct("ord", "uid", "pos")).alias("p")
     parts = parts.repartition("h").groupBy("h", "hi", "lo", "bytes").agg(place).select("h", "hi", "lo", "bytes", "p.ord", "p.uid", "p.pos")
