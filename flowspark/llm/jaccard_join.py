@@ -11,7 +11,8 @@ A set uses its own band's scheme and those of the lower bands whose sets it can
 Equal sets are one class. Each class is first verified against one leader, of the least classes of its signatures the
 one that it shares most with. After that only classes of a signature that are in different components still need
 comparing, so a large group of near copies never becomes all its pairs. Sizes and parity sketches bound the difference
-from below inside that join, so that few pairs come out of it; those are verified on whole sets.
+from below inside that join, and a pair comes out of the least signature that it shares, so that few rows come out;
+those are verified on whole sets.
 
 Shingles, sets and signatures stand as 64-bit hashes: 1e9 different ones hold a false match with a chance of 3 %.
 Nulls: a null text is empty; empty texts link with nothing. A null doc_id takes part like any row, and a component's
@@ -38,6 +39,7 @@ BAND = 1.2
 SMALL = 3  # shingles of a segment that too many sets may share
 SKETCH = 8  # longs of 64 parity bits, at least
 LEADERS, ROUNDS = (4, 32, 32), 3
+LOW = 16  # signatures by which a pair knows that it met before
 #: The cost model: chance that related but different sets agree on a shingle, and the weight of a chance meeting.
 AGREE, MEETING = 0.35, 200.0
 
@@ -228,9 +230,11 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[
         mixed = cut(mixed.filter("c0 <> c1").select("sig", "key", "comp", F.col("lead.key").alias("leader"), F.col("lead.comp").alias("other")), "jaccard-mixed")
         if links.isEmpty():
             break
-    mixed = cut(mixed.join(classes.select("key", "n", "bits"), "key"), "jaccard-mixed")
-    side = lambda x: mixed.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "comp", "n", "bits")])
-    apart = (F.col("key_a") < F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & _allowed(percent)
+    low = mixed.groupBy("key").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, LOW).alias("low"))  # a class's signatures are bounded by its own set
+    packed = classes.select("key", "n", "bits", *[_folded(i).alias(f"w{i}") for i in range(SKETCH)]).withColumn("bits", F.when(F.size("bits") > SKETCH, F.col("bits")))
+    mixed = cut(mixed.select("sig", "key", "comp").join(packed, "key").join(low, "key"), "jaccard-mixed")
+    side = lambda x: mixed.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in mixed.columns if c != "sig"])
+    apart = (F.col("key_a") < F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & _near(percent) & _first_meeting()
     left = side("a").join(side("b").withColumnRenamed("sig", "sig_b"), (F.col("sig") == F.col("sig_b")) & apart).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
     left = cut(left.join(known, ["a", "b"], "left_anti"), "jaccard-left")
     if not left.isEmpty():
@@ -240,6 +244,25 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[
     return described, labels
 
 
+def _folded(i: int) -> Column:
+    """Long i of the sketch folded to SKETCH longs."""
+    return F.aggregate(F.sequence(F.lit(i), F.size("bits") - 1, F.lit(SKETCH)), F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.get("bits", k)))
+
+
+def _near(percent: int) -> Column:
+    """_allowed, with the folded sketch as plain columns first: compiled code settles most pairs."""
+    differ = sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(1, SKETCH)), F.bit_count(F.col("w0_a").bitwiseXOR(F.col("w0_b"))))
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    folded = differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return sizes & folded & (F.col("bits_a").isNull() | F.col("bits_b").isNull() | _allowed(percent))
+
+
+def _first_meeting() -> Column:
+    """False where the pair surely meets in a lesser signature too. The least LOW signatures of both sides decide: if
+    they share any, they hold the least that the pair shares, so each pair keeps a meeting and mostly only one."""
+    return F.coalesce(F.array_min(F.array_intersect("low_a", "low_b")), F.col("sig")) >= F.col("sig")
+
+
 def _allowed(percent: int) -> Column:
     """What sizes and parity sketches allow: differing bits are differing shingles, at least."""
     m = F.least(F.size("bits_a"), F.size("bits_b"))
