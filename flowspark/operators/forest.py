@@ -36,6 +36,16 @@ def layer_hits(rows: DataFrame, layers: list[Layer], packet_no: Column, ts: Colu
     size, opaque (of the innermost such layer only)."""
     steps = [F.struct(F.lit(x.protocol).alias("protocol"), canonical_key(x).alias("key"), direction(x).alias("dir")) for x in layers]
     base = rows.select(packet_no.alias("packet_no"), ts.alias("ts"), size.cast("long").alias("size"), (opaque if opaque is not None else F.lit(0)).cast("long").alias("opaque"), F.filter(F.array(*steps), lambda x: x["key"].isNotNull()).alias("steps"))
+    return _hits(base)
+
+
+def packet_hits(dissected: DataFrame, packet_no: str = "packet_no") -> DataFrame:
+    """The rows of layer_hits for dissected packets."""
+    steps = F.transform(F.filter("layers", lambda x: x["key"].isNotNull()), lambda x: F.struct(x["protocol"].alias("protocol"), x["key"].alias("key"), x["dir"].alias("dir")))
+    return _hits(dissected.select(F.col(packet_no).alias("packet_no"), "ts", F.col("origlen").cast("long").alias("size"), F.col("opaque_len").cast("long").alias("opaque"), steps.alias("steps")))
+
+
+def _hits(base: DataFrame) -> DataFrame:
     hits = base.select("*", F.posexplode("steps").alias("depth", "step"))
     name = lambda x: F.concat(x["protocol"], F.lit(":"), x["key"])
     path = lambda n: F.array_join(F.transform(F.slice("steps", 1, n), name), "/")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rendering
-from ..operators import forest, rollups, sessions
+from ..operators import dissect, forest, rollups, sessions
 from ..operators.forest import Layer
 from .where import compile_where
 
@@ -37,6 +37,19 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.streams(hits(spark, sf_dir))
 
 
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as Ethernet frames with IPv4 and TCP or, where returned, UDP: nations as MAC addresses, the supplier and
+    the customer as IP addresses, the line and its part as ports, as many payload bytes as the line number says."""
+    h = lambda c, n: F.lpad(F.hex(F.col(c).cast("long") if isinstance(c, str) else c.cast("long")), n, "0")
+    lit, n = F.lit, F.col("l_linenumber")
+    ports = F.concat(h(n + 30000, 4), h(F.col("l_partkey") % 1000 + 31000, 4))
+    tcp = F.concat(ports, lit("000000000000000050180400" + "00000000"))
+    udp = F.concat(ports, h(n + 8, 4), lit("0000"))
+    returned = F.col("l_returnflag") == "R"
+    frame = F.concat(h("c_nationkey", 12), h("s_nationkey", 12), lit("0800"), lit("450000000000000040"), F.when(returned, lit("11")).otherwise(lit("06")), lit("0000"), h(F.col("l_suppkey") + 167772160, 8), h(F.col("o_custkey") + 167772160, 8), F.when(returned, udp).otherwise(tcp), F.repeat(lit("FF"), n))
+    return traffic(spark, sf_dir).select("packet_no", "ts", F.col("size").cast("int").alias("origlen"), F.lit(1).alias("link_type"), F.unhex(frame).alias("data"))
+
+
 def _observations(spark: SparkSession, sf_dir: str, value) -> DataFrame:
     t = traffic(spark, sf_dir)
     return t.select(F.concat_ws("-", F.least("l_suppkey", "o_custkey"), F.greatest("l_suppkey", "o_custkey")).alias("path"), F.col("packet_no").alias("ord"), value.alias("value"))
@@ -121,13 +134,34 @@ QUERIES = {
     "event_lifecycle": lambda s, d: sessions.lifecycle(_events(s, d), ["user_id"], "event_id", "event_type", _STATES, "new"),
     "regressed_timestamps": lambda s, d: sessions.regressions(table(s, d, "events").select("event_id", F.col("value").alias("ts")), "ts", "event_id", 1000),
     "unknown_groups": _unknown,
+    "dissected_forest": lambda s, d: forest.streams(forest.packet_hits(dissect.dissect(frames(s, d)))).select(*_NODE),
+    "dissected_stops": lambda s, d: dissect.stop_summary(dissect.dissect(frames(s, d))),
+    "dissected_unclaimed": lambda s, d: dissect.unclaimed(dissect.dissect(frames(s, d))),
     "fmt_values": _fmt,
 }
 for _i, _w in enumerate(WHERE):
     QUERIES[f"where_{_i}"] = lambda s, d, w=_w: compile_where(w).filter(forest.with_children(nodes(s, d))).select("path", "packets", "bytes")
 
+_FRAME_SQL = f"""
+with t as (
+    select *, {_WIDE} as packet_no, epoch(l_shipdate)::bigint as ts, l_quantity::bigint as size, case when l_returnflag = 'R' then 'udp' else 'tcp' end as proto,
+           '000006' || lpad(to_hex(s_nationkey::bigint), 12, '0') as ma, '000006' || lpad(to_hex(c_nationkey::bigint), 12, '0') as mb, '000004' || lpad(to_hex(l_suppkey + 167772160), 8, '0') as ia, '000004' || lpad(to_hex(o_custkey + 167772160), 8, '0') as ib,
+           '01' || lpad(to_hex(30000 + l_linenumber::bigint), 16, '0') as ta, '01' || lpad(to_hex(31000 + l_partkey % 1000), 16, '0') as tb
+    from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
+),
+k as (select *, 'ethernet:' || upper(least(ma, mb) || greatest(ma, mb)) as p0, 'ipv4:' || upper(least(ia, ib) || greatest(ia, ib)) as p1, proto || ':' || upper(least(ta, tb) || greatest(ta, tb)) as p2 from t),
+h as (
+    select p0 as path, null as parent, 0 as depth, 'ethernet' as protocol, split_part(p0, ':', 2) as key, case when ma <= mb then 0 else 1 end as dir, packet_no, ts, size, 0 as opaque from k
+    union all select p0 || '/' || p1, p0, 1, 'ipv4', split_part(p1, ':', 2), case when ia <= ib then 0 else 1 end, packet_no, ts, size, 0 from k
+    union all select p0 || '/' || p1 || '/' || p2, p0 || '/' || p1, 2, proto, split_part(p2, ':', 2), case when ta <= tb then 0 else 1 end, packet_no, ts, size, l_linenumber from k
+),
+"""
 _FLAGS_SQL = " || ".join(f"case when p_partkey % 512 & {b} > 0 then '+{n}' else '' end" for n, b in rendering.TCP_FLAGS)
+_DISSECTED_SQL = _FRAME_SQL + "n as (" + _SQL.split("\nn as (")[1]
 SQL = {
+    "dissected_forest": _DISSECTED_SQL + "select " + ", ".join(_NODE) + " from n",
+    "dissected_stops": "select 'unknown_payload' as stop_class, 'unclaimed_route' as stop, count(*) as packets from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by all",
+    "dissected_unclaimed": "with r as (select case when l_returnflag = 'R' then 'udp' else 'tcp' end as predecessor, 31000 + l_partkey % 1000 as port, l_linenumber::bigint as size, epoch(l_shipdate)::bigint as ts from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey) select predecessor, predecessor || '_port:' || port as route, count(*) as n, sum(size)::bigint as bytes_total, min(size) as bytes_min, max(size) as bytes_max, min(ts) as first_seen, max(ts) as last_seen from r group by all",
     "forest_nation_party": _SQL + "select " + ", ".join(_NODE) + " from n",
     "merged_party": _SQL + "select protocol, key, sum(packets_ab)::bigint as packets_ab, sum(packets_ba)::bigint as packets_ba, sum(bytes_ab)::bigint as bytes_ab, sum(bytes_ba)::bigint as bytes_ba, min(first_seen) as first_seen, max(last_seen) as last_seen, count(*) as n_nodes from n group by all",
     "children_counts": _SQL + "select path, (select count(*) from n c where c.parent = n.path) as n_children from n",
