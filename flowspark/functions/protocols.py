@@ -22,7 +22,7 @@ class Truncated(Exception):
         self.needed, self.have = needed, have
 
 
-Values = dict[str, int | bytes]
+Values = dict[str, int | bytes | str]
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,7 @@ class Protocol:
     after: Callable[[Values], list[str]] = lambda v: []  # routes to try in order; none: nothing follows
     shared: tuple[str, ...] = ()
     pair: tuple[str, str] | None = None
+    app: str | None = None  # a constant key: one conversation below each parent
 
     def parse(self, buf: bytes) -> tuple[Values, int]:
         if len(buf) < self.least:
@@ -52,18 +53,25 @@ class Protocol:
             raise Truncated(size, len(buf))
         if self.extra:
             self.extra(v, buf)
+        if self.app:
+            v["app"] = self.app
         return v, size
 
     def key(self, v: Values) -> tuple[str, int] | None:
         """The canonical key as hex and the direction; None for protocols without conversations."""
+        if self.app:
+            return encode(self.app), 0
         if not self.shared and not self.pair:
             return None
         a, b = (encode(v[n]) for n in self.pair) if self.pair else ("", "")
         return "".join(encode(v[n]) for n in self.shared) + min(a, b) + max(a, b), int(a > b)
 
 
-def encode(x: int | bytes) -> str:
-    """The hex of a key part: numbers as tag 01 and eight bytes, bytes as tag 00, two bytes of length and themselves."""
+def encode(x: int | bytes | str) -> str:
+    """The hex of a key part: numbers as tag 01 and eight bytes; bytes as tag 00 and text as tag 04, two bytes of length
+    and themselves."""
+    if isinstance(x, str):
+        return "04" + encode(x.encode())[2:]
     return f"01{x:016X}" if isinstance(x, int) else f"00{len(x):04X}{x.hex().upper()}"
 
 
@@ -105,6 +113,25 @@ def _arp_extra(v: Values, buf: bytes) -> None:
         at += v[size]
 
 
+def _behind(name: str, start: int, size: str) -> Callable[[Values, bytes], None]:
+    """Sets a field to the bytes from start, as many words of four as another field says; none leave it out."""
+
+    def extra(v: Values, buf: bytes) -> None:
+        if v[size] > 0:
+            v[name] = buf[start : start + 4 * v[size]]
+
+    return extra
+
+
+def _icv(v: Values, buf: bytes) -> None:
+    if v["payload_len"] > 1:
+        v["icv"] = buf[12 : 8 + 4 * v["payload_len"]]
+
+
+#: Types of ICMPv6 messages that a protocol of their own reads (multicast listeners and neighbours).
+ICMPV6_ROUTED = (130, 131, 132, 133, 134, 135, 136, 137, 143)
+
+
 def _ports(kind: str) -> Callable[[Values], list[str]]:
     return lambda v: [f"{kind}:{v['dst_port']}", f"{kind}:{v['src_port']}"]
 
@@ -128,6 +155,13 @@ PROTOCOLS = [
     Protocol("udp", ("ip_protocol:17",), 8, {"src_port": (0, 16), "dst_port": (16, 16), "length": (32, 16), "checksum": (48, 16)}, after=_ports("udp_port"), pair=("src_port", "dst_port")),
     Protocol("gre", ("ip_protocol:47",), 4, {"c": (0, 1), "k": (2, 1), "s": (3, 1), "flags": (0, 4), "version": (13, 3), "protocol": (16, 16)}, {}, lambda v: v["version"] == 0,
              lambda v, b: 4 + 4 * (v["c"] + v["k"] + v["s"]), _gre_extra, lambda v: [ethertype(v["protocol"])], ("key",)),
+    Protocol("icmpv6", ("ip_protocol:58",), 8, {"type": (0, 8), "code": (8, 8)}, {"rest_of_header": (4, 4)}, after=lambda v: [f"custom:icmpv6_type:{v['type']}"] if v["type"] in ICMPV6_ROUTED else []),
+    Protocol("esp", ("ip_protocol:50",), 8, {"spi": (0, 32), "sequence": (32, 32)}, shared=("spi",)),
+    Protocol("ah", ("ip_protocol:51",), 12, {"next_header": (0, 8), "payload_len": (8, 8), "spi": (32, 32), "sequence": (64, 32)}, {}, lambda v: v["payload_len"] > 0, lambda v, b: 8 + 4 * v["payload_len"],
+             _icv, lambda v: [f"ip_protocol:{v['next_header']}"], ("spi",)),
+    Protocol("geneve", ("udp_port:6081",), 8, {"version": (0, 2), "opt_len": (2, 6), "o_bit": (8, 1), "c_bit": (9, 1), "protocol_type": (16, 16), "vni": (32, 24)}, {}, lambda v: v["version"] == 0,
+             lambda v, b: 8 + 4 * v["opt_len"], _behind("options", 8, "opt_len"), lambda v: [ethertype(v["protocol_type"])], ("vni",)),
+    Protocol("ntp", ("udp_port:123",), 48, {"version": (2, 3), "mode": (5, 3), "stratum": (8, 8)}, {"ref_id": (12, 4), "ref_ts": (16, 8), "orig_ts": (24, 8), "recv_ts": (32, 8), "xmit_ts": (40, 8)}, lambda v: v["mode"] > 0, app="ntp"),
     Protocol("vxlan", ("udp_port:4789",), 8, {"flags": (0, 8), "valid": (4, 1), "vni": (32, 24)}, {}, lambda v: v["valid"] == 1, after=lambda v: ["link:1"], shared=("vni",)),
 ]
 

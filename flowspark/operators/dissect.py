@@ -18,8 +18,8 @@ from ..functions.protocols import Malformed, Protocol, Truncated, routes
 #: The class of each reason.
 STOP_CLASSES = {"complete": "clean", "terminal": "clean", "unclaimed_route": "unknown_payload", "truncated": "malformed", "plugin_error": "malformed", "depth_cap": "suspicious"}
 MAX_LAYERS = 32
-LAYER = "struct<protocol string, offset int, header_len int, key string, dir int, fields array<struct<name string, num long, raw binary>>>"
-_FIELD = pa.struct([("name", pa.string()), ("num", pa.int64()), ("raw", pa.binary())])
+LAYER = "struct<protocol string, offset int, header_len int, key string, dir int, fields array<struct<name string, num long, raw binary, text string>>>"
+_FIELD = pa.struct([("name", pa.string()), ("num", pa.int64()), ("raw", pa.binary()), ("text", pa.string())])
 _LAYER = pa.struct([("protocol", pa.string()), ("offset", pa.int32()), ("header_len", pa.int32()), ("key", pa.string()), ("dir", pa.int32()), ("fields", pa.list_(_FIELD))])
 
 
@@ -43,7 +43,7 @@ def walk(buf: bytes, link_type: int | None, table: dict[str, Protocol], most: in
         else:
             return layers, "truncated" if len(wanted) == 1 and isinstance(failed, Truncated) else "plugin_error", None, len(buf) - at
         key, way = p.key(v) or (None, None)
-        layers.append({"protocol": p.name, "offset": at, "header_len": size, "key": key, "dir": way, "fields": [{"name": n, "num": x if isinstance(x, int) else None, "raw": x if isinstance(x, bytes) else None} for n, x in v.items()]})
+        layers.append({"protocol": p.name, "offset": at, "header_len": size, "key": key, "dir": way, "fields": [{"name": n, "num": x if isinstance(x, int) else None, "raw": x if isinstance(x, bytes) else None, "text": x if isinstance(x, str) else None} for n, x in v.items()]})
         at, wanted = at + size, p.after(v)
     return layers, "complete", None, 0
 

@@ -81,6 +81,24 @@ def test_ipv6_extensions_and_gre_key():
     assert layers[-1]["key"] == f"01{77:016X}" and {f["name"]: f["num"] for f in layers[-1]["fields"]}["sequence"] == 5
 
 
+def test_further_protocols(spark):
+    inside = lambda proto, body: eth(A, B, 0x0800, ip(H1, H2, proto, body))
+    assert names(inside(50, struct.pack(">II", 7, 1) + b"secret")) == (["ethernet", "ipv4", "esp"], "terminal", None, 6)
+    ah = struct.pack(">BBHII", 6, 4, 0, 9, 1) + b"i" * 12 + tcp(1, 2, 2)
+    assert names(inside(51, ah)) == (["ethernet", "ipv4", "ah", "tcp"], "complete", None, 0)
+    assert {f["name"]: f["raw"] for f in dissect.walk(inside(51, ah), 1, routes())[0][2]["fields"]}["icv"] == b"i" * 12
+    assert names(inside(51, b"\6\0" + ah[2:]))[1] == "plugin_error" and names(inside(51, ah[:14]))[1] == "truncated"
+    gen = bytes([1, 0x40]) + struct.pack(">H", 0x6558) + (77 << 8).to_bytes(4, "big") + b"opts"
+    assert names(inside(17, udp(5, 6081, gen + b"x"))) == (["ethernet", "ipv4", "udp", "geneve"], "unclaimed_route", "ethertype:0x6558", 1)
+    assert names(inside(17, udp(5, 6081, b"\x40" + gen[1:])))[1] == "plugin_error"
+    ntp = b"\x23\2" + b"\0" * 10 + b"GPS\0" + b"\xff" * 32
+    got = dissect.dissect(spark.createDataFrame([(0, 1, 90, 1, inside(17, udp(123, 9, ntp)))], "packet_no long, ts long, origlen int, link_type int, data binary")).first()
+    last = {f.name: f for f in got.layers[-1].fields}
+    assert got.stop == "complete" and got.layers[-1].key == "040003" + b"ntp".hex().upper() and last["app"].text == "ntp" and last["mode"].num == 3 and bytes(last["xmit_ts"].raw) == b"\xff" * 8
+    assert names(inside(17, udp(123, 9, b"\x20" + ntp[1:])))[1] == "plugin_error"
+    assert names(inside(58, bytes([135, 0]) + b"\0" * 6 + b"z"))[1:] == ("unclaimed_route", "custom:icmpv6_type:135", 1) and names(inside(58, bytes([128, 0]) + b"\0" * 6 + b"z"))[1] == "terminal"
+
+
 def test_capture_formats():
     frames = [(1_500_000, b"abc"), (2_000_001, b"defgh")]
     for order in "<>":
