@@ -291,21 +291,26 @@ def _similar(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return cut(out.filter((F.size("t_a") + F.size("t_b") - F.col("both")) * percent <= F.col("both") * 100).select("a", "b"), "jaccard-links")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, row, n_shingles, component_id: one row for each row of docs."""
+def row_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, row, n_shingles and comp, the component's own key (null without shingles): one row for each row of docs."""
     described, labels = similar_classes(docs, size, percent)
     own = described.select("doc_id", "row", F.col("n").alias("n_shingles"), "key").join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    own = cut(own.select("doc_id", "row", "n_shingles", "comp"), "jaccard-own")
+    return cut(own.select("doc_id", "row", "n_shingles", "comp"), "jaccard-own")
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, row, n_shingles, component_id: one row for each row of docs."""
+    own = row_components(docs, size, percent)
     least = own.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return own.join(least, "comp", "left").select("doc_id", "row", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component: the least by doc_id (nulls last), then by row key. Empty texts all stay."""
-    found = jaccard_components(docs, size, percent)
+    """docs with one row of each component: the least by doc_id (nulls last), then by row key. Empty texts all stay.
+    Components go by their own key, so null or repeated doc_ids bring no unlinked texts together."""
+    found = row_components(docs, size, percent)
     empty = F.col("n_shingles") == 0
-    group = F.coalesce(F.col("component_id").cast("string"), F.lit(""))
-    best = found.filter(~empty).groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("__row"))
+    best = found.filter(~empty).groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("__row"))
     keep = cut(best.select("__row").unionByName(found.filter(empty).select(F.col("row").alias("__row"))).distinct(), "jaccard-keep")
     names = docs.columns
     rows = docs.withColumn("__row", row_key(docs["doc_id"], docs["text"])).join(keep, "__row", "left_semi")

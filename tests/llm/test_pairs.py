@@ -64,6 +64,14 @@ def test_jaccard_random_groups(spark, odd):
     assert jaccard_join.jaccard_components(odd.limit(0)).count() == 0 and jaccard_join.keep_one(odd).columns == odd.columns
 
 
+def test_keep_one_does_not_mix_components_under_null_or_repeated_ids(spark):
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcd")
+    rows = [(None, one), (None, two), (None, two + " more"), (7, three), (7, four), (8, four)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in kept) == {None: 2, 7: 2}
+    assert {(None, one), (7, three), (7, four)} < {tuple(r) for r in kept}
+
+
 def test_repeats_on_a_whole_table(spark):
     got = Counter(tuple(r) for r in queries.op7_suffix_dedup(spark, "/root/testdata/sf0.001").collect())
     assert got == brute.repeats(texts(spark, "/root/testdata/sf0.001"))
