@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, pick, row_key
 
 FEATURES = 256
 BINS = 512
@@ -57,13 +57,13 @@ def statistics(text: str) -> list[float]:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs' doc_id and the array stats."""
-    docs = pick(docs, "doc_id", "text")
-    schema = docs.select("doc_id", F.lit(None).cast("array<double>").alias("stats")).schema
+    """docs' doc_id, row (the key of its doc_id and text) and the array stats."""
+    docs = pick(docs, "doc_id", "text").select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
+    schema = docs.select("doc_id", "row", F.lit(None).cast("array<double>").alias("stats")).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(t.as_py() or "") for t in b.column(1)], pa.list_(pa.float64()))], names=["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([statistics(t.as_py() or "") for t in b.column(2)], pa.list_(pa.float64()))], names=["doc_id", "row", "stats"])
 
     return docs.mapInArrow(work, schema)
 
@@ -162,7 +162,7 @@ def fit(labelled: DataFrame, calibration: Column) -> Model:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, trains: Column, calibrates: Column) -> DataFrame:
-    """doc_id and score. trains and calibrates are conditions on doc_id: which labelled rows are learnt from, and which
+    """doc_id, row and score. trains and calibrates are conditions on doc_id: which labelled rows are learnt from, and which
     of those calibrate. labels, lang, source and doc_id are no inputs of a score."""
     seen = cut(with_statistics(docs), "quality-statistics")
     marks = pick(labels, "doc_id", "quality").filter("quality is not null").select("doc_id", F.col("quality").cast("double").alias("label")).filter(trains)
@@ -170,16 +170,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, trains: Column, calibrates
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(1).flatten(), dtype=float).reshape(b.num_rows, len(NAMES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x), pa.float64())], names=["doc_id", "score"])
+            x = np.array(b.column(2).flatten(), dtype=float).reshape(b.num_rows, len(NAMES))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.score(x), pa.float64())], names=["doc_id", "row", "score"])
 
-    return seen.mapInArrow(work, seen.select("doc_id", F.lit(0.0).alias("score")).schema)
+    return seen.mapInArrow(work, seen.select("doc_id", "row", F.lit(0.0).alias("score")).schema)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """docs without the documents that score below least; every labelled row is learnt from, a fifth of them for
-    calibration. Rows whose doc_id is null or repeated take the lowest score of their doc_id."""
+    calibration. Each text is judged by its own score, whatever other rows its doc_id, null or repeated, has."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     scores = score_quality(docs, labels, F.lit(True), fold == 4)
-    low = scores.groupBy("doc_id").agg(F.min("score").alias("score")).filter(F.col("score") < least).select(F.col("doc_id").alias("__id"))
-    return docs.join(low, docs["doc_id"].eqNullSafe(low["__id"]), "left_anti")
+    low = scores.filter(F.col("score") < least).select(F.col("row").alias("__row")).distinct()
+    rows = docs.withColumn("__row", row_key(docs["doc_id"], docs["text"]))
+    return rows.join(low, "__row", "left_anti").select(*docs.columns)

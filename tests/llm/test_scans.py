@@ -111,6 +111,16 @@ def test_classifier_edges(spark, odd):
     assert quality_model.drop_low_quality(odd, few).columns == odd.columns
 
 
+def test_low_quality_is_judged_by_text(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = queries.table(spark, sf, "documents").select("doc_id", "text"), queries.table(spark, sf, "labels")
+    gone = docs.join(quality_model.drop_low_quality(docs, labels), "doc_id", "left_anti").join(labels.filter("quality = 0"), "doc_id").select("text").first().text
+    good = [r.text for r in docs.join(labels.filter("quality = 1"), "doc_id").select("text").limit(2).collect()]
+    own = spark.createDataFrame([(None, gone), (None, good[0]), (-5, gone), (-5, good[1])], "doc_id long, text string")
+    kept = [tuple(r) for r in quality_model.drop_low_quality(docs.unionByName(own), labels).collect()]
+    assert {r for r in kept if r[0] in (None, -5)} == {(None, good[0]), (-5, good[1])}
+
+
 def test_pooling_is_isotonic():
     draw = np.random.default_rng(1)
     x = np.sort(draw.normal(size=200))
