@@ -47,8 +47,8 @@ def kd_cells(rows: DataFrame, dims: list[str], shards: int) -> tuple[DataFrame,
         _refine(rows.withColumn("cell", cell), goals, names)
         after: dict[int, dict] = {}
         for c, n in open_nodes.items():
-            if n["k"] == 1 or c not in goals:
-                after[2 * c] = n
+            if c not in goals:  # one leaf, or no rows to divide: its other leaves stay empty
+                after[2 * c] = {**n, "k": 1}
                 continue
             cuts.append({"cell": c, "first": n["first"], "k": n["k"], "dim": goals[c]["dim"], "value": goals[c]["value"], "tie": goals[c]["tie"]})
             after[2 * c] = {"k": n["k"] // 2, "first": n["first"]}

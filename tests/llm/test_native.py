@@ -89,3 +89,11 @@ def test_shards(spark):
 def test_shard_edges(spark, odd):
     assert len(sharding.kd_shards(odd, target_bytes=20000).collect()) == len(ODD)
     assert sharding.kd_shards(odd.limit(0), shards=16).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [[5], [5, 5], [0], [3] * 20 + [5000]])
+def test_shards_with_nodes_without_rows(spark, sizes):
+    docs = [(i, "x" * n, "en", f"s{i % 3}") for i, n in enumerate(sizes)]
+    rows = sharding.kd_shards(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), shards=16).collect()
+    check_shards([d[:2] for d in docs], rows, 16)
+    assert all(0 <= r.shard < 16 for r in rows)
