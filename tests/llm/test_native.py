@@ -65,6 +65,23 @@ def test_secret_edges_and_links(spark, odd):
     assert secrets.mask_secrets(odd).columns == odd.columns and secrets.find_secrets(odd.limit(0)).count() == 0
 
 
+def test_short_named_secrets_link(spark):
+    far = " a" * 300
+    want = {
+        "user=bob password=Secr3t99 ftp://host/x": ["user=bob", "password=Secr3t99", "ftp://host/x"],
+        "password=Secr3t99 then user=bob": ["password=Secr3t99", "user=bob"],
+        "ftp://host/x " + "password: no1" + far + " token=abc": ["ftp://host/x", "password: no1"],
+        "password=Secr3t99" + far + " user=bob" + far + " ftp://host/x": [],
+        "http://host/?password=abc": ["http://host/?password=abc", "password=abc"],
+        "password=Secr3t99 zz9876543210zzABCDEFGHIJ": [],
+    }
+    found = secrets.find_secrets(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).collect()
+    texts = list(want)
+    assert {texts[r.doc_id]: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in found} == want
+    masked = secrets.mask_secrets(spark.createDataFrame([(0, texts[0])], "doc_id long, text string")).first().text
+    assert masked == "[SECRET] [SECRET] [SECRET]"
+
+
 def check_shards(docs, rows, shards):
     size = defaultdict(int)
     slots = defaultdict(list)
