@@ -1,6 +1,6 @@
 """K-d tree sharding by weighted medians (DataFrame functions only).
 
-A leaf is a shard. A node that has to give k leaves is cut along its widest dimension (in units of the whole table's
+A leaf is a shard. Language and source count by the rank of their whole value among the table's distinct ones. A node that has to give k leaves is cut along its widest dimension (in units of the whole table's
 extent) at the weighted quantile that gives its left side floor(k / 2) of k shares of its bytes. The quantile is found
 by refining histograms: a job adds up the bytes of each of at most BINS bins of every open node, the driver picks the bin
 in which the quantile lies, and the next job cuts that bin again; then rows of equal value are cut by a hash of the row.
@@ -23,9 +23,18 @@ HASH_BITS = 40
 SLOT_ROWS = 100_000
 
 
-def order_code(text: Column) -> Column:
-    """A long that keeps the order of the first six UTF-8 bytes."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(text, F.lit("")), "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("long")
+def ranks(rows: DataFrame, name: str) -> DataFrame:
+    """The distinct values of the text column name, and d_name: their dense rank in the order of their whole UTF-8 bytes.
+    Values are sorted by ranges and numbered in each, so no task holds them all; the driver sees a count for each range."""
+    values = rows.select(name).distinct().orderBy(name).select(name, F.monotonically_increasing_id().alias("id"))
+    values = cut(values, "kd-values")  # id: the range, and 33 bits for the place in it
+    part = F.shiftright("id", 33).cast("int")
+    starts, n = [], 0
+    for k, held in sorted(tuple(r) for r in values.groupBy(part).agg(F.count(F.lit(1))).collect()):
+        starts += [F.lit(k), F.lit(n).cast("long")]
+        n += held
+    start = F.create_map(*starts)[part] if n else F.lit(0).cast("long")
+    return values.select(name, (start + F.col("id").bitwiseAND(F.lit(2**33 - 1))).alias(f"d_{name}"))
 
 
 def kd_cells(rows: DataFrame, dims: list[str], shards: int) -> tuple[DataFrame, list[dict]]:
@@ -109,9 +118,11 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     rows = pick(docs, "doc_id", "text", "lang", "source").select(
         "doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.monotonically_increasing_id().alias("uid"),
-        order_code(F.col("lang")).alias("d_lang"), order_code(F.col("source")).alias("d_source"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("d_chars"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")], F.length(F.coalesce("text", F.lit(""))).cast("long").alias("d_chars"),
     )
-    rows = cut(rows, "kd-rows")  # from here on the running number is fixed
+    for c in ("lang", "source"):
+        rows = rows.join(ranks(pick(docs, c).select(F.coalesce(c, F.lit("")).alias(c)), c), c)
+    rows = cut(rows.drop("lang", "source"), "kd-rows")  # from here on the running number is fixed
     rows = rows.withColumn("tie", F.pmod(F.xxhash64("doc_id", "text_crc32", "uid"), F.lit(2**HASH_BITS)))
     if shards is None:
         shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))

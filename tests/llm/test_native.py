@@ -114,3 +114,13 @@ def test_shards_with_nodes_without_rows(spark, sizes):
     rows = sharding.kd_shards(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), shards=16).collect()
     check_shards([d[:2] for d in docs], rows, 16)
     assert all(0 <= r.shard < 16 for r in rows)
+
+
+def test_shards_tell_long_names_apart(spark):
+    docs = [(i, "the same text", "en", f"github-{i % 16:02}") for i in range(480)]
+    rows = sharding.kd_shards(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), shards=16).collect()
+    check_shards([d[:2] for d in docs], rows, 16)
+    assert {(r.shard, r.doc_id % 16) for r in rows} == {(i, i) for i in range(16)}
+    names = ["", "a", "github-a", "github-b", "z", "é", "\uffee", "𝄞", *(f"n{i:05}" for i in range(3000))]
+    found = sharding.ranks(spark.createDataFrame([(x,) for x in names * 2], "source string").repartition(7), "source").collect()
+    assert {r.source: r.d_source for r in found} == {x: i for i, x in enumerate(sorted(names, key=str.encode))} and len(found) == len(names)
