@@ -36,7 +36,7 @@ def canonical_url(url: Column) -> Column:
     rest = F.regexp_replace(u, "^[^:/?#]+://[^/?#]*", "")
     path = F.regexp_replace(F.regexp_extract(rest, r"^([^?]*)", 1), "/+$", "")
     query = F.regexp_replace(F.concat(F.lit("&"), F.regexp_extract(rest, r"\?(.*)$", 1)), "&((utm_[a-z]+|gclid|fbclid)=[^&]*)?$|&(utm_[a-z]+|gclid|fbclid)=[^&]*", "")
-    return F.concat(F.regexp_replace(host, r"^www\.", ""), path, F.when(F.length(query) > 1, F.concat(F.lit("?"), F.substring(query, 2, 1 << 20))).otherwise(""))
+    return F.concat(F.regexp_replace(host, r"^www\.", ""), path, F.when(F.length(query) > 1, F.concat(F.lit("?"), F.substring(query, F.lit(2), F.length(query)))).otherwise(""))
 
 
 def resolve_revisits(captures: DataFrame) -> DataFrame:

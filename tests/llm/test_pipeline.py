@@ -42,6 +42,14 @@ def test_revisit_rules(spark):
     assert revisits.resolve_revisits(captures.limit(0)).count() == 0
 
 
+def test_long_queries_stay_whole(spark):
+    long = "https://h.example/a?q=" + "x" * (1 << 20)
+    rows = [("1", long + "1", 10, "response", "d1", None), ("2", long + "2", 20, "response", "d2", None), ("3", long + "1", 30, "revisit", "d1", None), ("4", long + "3", 40, "revisit", "d2", None)]
+    captures = spark.createDataFrame(rows, "record_id string, url string, ts long, kind string, digest string, headers map<string,string>")
+    out = {r.record_id: r for r in revisits.resolve_revisits(captures).collect()}
+    assert {k: r.source_id for k, r in out.items()} == {"3": "1", "4": None} and out["3"].canonical_url == (long + "1").removeprefix("https://")
+
+
 def test_warc_files(spark, tmp_path):
     def record(i, kind, block):
         return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{i}>\r\nWARC-Target-URI: http://h.example/\r\nWARC-Date: 2024-01-01T00:00:0{i}Z\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
