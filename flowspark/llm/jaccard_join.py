@@ -22,7 +22,6 @@ are ignored.
 
 from __future__ import annotations
 
-import bisect
 import functools
 from collections.abc import Iterator
 
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, pick, row_key
-from .hashing import mix, shingle_set, word_hashes
+from .hashing import chunks, lower, mix, shingle_sets
 
 BAND = 1.3
 SMALL = 0  # shingles of a segment that too many sets share
@@ -74,24 +73,23 @@ class Scheme:
         plain = 1 + MEETING * AGREE**held
         return (segments - wide) * plain + wide * (plain + held * (1 + MEETING * AGREE ** max(held - 1, 0)))
 
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        at = (mix(tokens ^ np.uint64(0xA5A5 + self.band)) % np.uint64(self.segments)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        value = mix(tokens + np.uint64(1))[order]
-        count = np.bincount(at, minlength=self.segments)
-        upto = np.concatenate([np.zeros(1, dtype=np.uint64), np.add.accumulate(value)])
-        end = np.cumsum(count)
-        total = upto[end] - upto[end - count]
-        out = mix(total ^ self.tag)
-        few = count <= SMALL
-        few[: self.wide] = False
-        if few.sum() <= self.slack:
-            out = out[~few]
-        near = end[self.wide - 1] if self.wide else 0
-        if near:
-            seg = at[order[:near]]
-            out = np.concatenate([out, mix((total[seg] - value[:near]) ^ self.tag[seg])])
-        return out
+    def signatures(self, tokens: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The signatures of n sets, and the set of each; of says which set each token belongs to."""
+        segment = (mix(tokens ^ np.uint64(0xA5A5 + self.band)) % np.uint64(self.segments)).astype(np.int64)
+        at = of * self.segments + segment
+        value = mix(tokens + np.uint64(1))
+        total = np.zeros(n * self.segments, dtype=np.uint64)
+        np.add.at(total, at, value)
+        few = (np.bincount(at, minlength=len(total)) <= SMALL).reshape(n, self.segments)
+        few[:, : self.wide] = False
+        few[few.sum(axis=1) > self.slack] = False
+        keep = np.flatnonzero(~few.ravel())
+        out, whose = mix(total[keep] ^ self.tag[keep % self.segments]), keep // self.segments
+        if self.wide:
+            near = np.flatnonzero(segment < self.wide)
+            out = np.concatenate([out, mix((total[at[near]] - value[near]) ^ self.tag[segment[near]])])
+            whose = np.concatenate([whose, of[near]])
+        return out, whose
 
 
 def _lows() -> list[int]:
@@ -109,42 +107,53 @@ def scheme(band: int, percent: int) -> Scheme:
     return Scheme(band, LOWS[band], LOWS[band + 1], percent)
 
 
-def all_signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
-    b = bisect.bisect_right(LOWS, len(tokens)) - 1
-    use = []
-    while b >= 0 and (LOWS[b + 1] - 1) * 100 // percent >= len(tokens):
-        use.append(scheme(b, percent).signatures(tokens))
-        b -= 1
-    return np.unique(np.concatenate(use))
+def all_signatures(tokens: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of the sets that begin at `at` in tokens (one end more), and the set of each."""
+    n = np.diff(at)
+    band, sigs, whose = np.searchsorted(LOWS, n, "right") - 1, [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    reach = np.array([(x - 1) * 100 // percent for x in LOWS[1:]])
+    while len(left := np.flatnonzero((band >= 0) & (n > 0) & (reach[band] >= n))):
+        for b in np.unique(band[left]):
+            own = left[band[left] == b]
+            these = np.concatenate([tokens[at[i] : at[i + 1]] for i in own])
+            out, of = scheme(int(b), percent).signatures(these, np.repeat(np.arange(len(own)), n[own]), len(own))
+            sigs.append(out)
+            whose.append(own[of])
+        band = band - 1
+    return np.concatenate(sigs), np.concatenate(whose)
 
 
 def class_key(tokens: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(tokens.tobytes()) - 2**63
+    return xxhash.xxh64_intdigest(tokens) - 2**63
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity bits, a power of two of them and at least 0.4 for each shingle; halves xor to the sketch of half the size."""
-    bits = 64 * SKETCH
-    while bits < 0.4 * len(tokens):
-        bits *= 2
-    odd = np.bincount((mix(tokens ^ np.uint64(77)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def sketches(tokens: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    """Parity bits of each set, a power of two of them and at least 0.4 for each shingle; halves xor to the sketch of half
+    the size. An empty set has none."""
+    n = np.diff(at)
+    longs = np.full(len(n), SKETCH)
+    while (more := longs * 64 < 0.4 * n).any():
+        longs[more] *= 2
+    begin = np.concatenate([[0], np.cumsum(longs)])
+    place = np.repeat(begin[:-1], n) * 64 + (mix(tokens ^ np.uint64(77)) % np.repeat(longs * 64, n).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(place, minlength=64 * begin[-1]) & 1
+    bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(bits), mask=pa.array(n == 0))
 
 
-def _sets(batch: pa.RecordBatch, column: int, size: int) -> Iterator[np.ndarray]:
-    for t in batch.column(column):
-        yield shingle_set(word_hashes((t.as_py() or "").encode().lower()), size)
+def _keys(tokens: np.ndarray, at: np.ndarray) -> list[int | None]:
+    return [class_key(tokens[i:j]) if j > i else None for i, j in zip(at[:-1], at[1:])]
 
 
 def _describe(size: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, key, bits = [], [], []
-            for u in _sets(b, 2, size):
-                n.append(len(u))
-                key.append(class_key(u) if len(u) else None)
-                bits.append(sketch(u) if len(u) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "row", "n", "key", "bits"])
+            done = 0
+            for raw, begin in chunks(b.column(2)):
+                tokens, at = shingle_sets(lower(raw), begin, size)
+                own = b.slice(done, len(begin) - 1)
+                done += len(own)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.diff(at), pa.int64()), pa.array(_keys(tokens, at), pa.int64()), sketches(tokens, at)], names=["doc_id", "row", "n", "key", "bits"])
 
     return work
 
@@ -153,30 +162,29 @@ def _emit(size: int, percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this partition
         for b in batches:
-            sigs, keys = [], []
-            for u in _sets(b, 0, size):
-                if len(u) and (k := class_key(u)) not in seen:
-                    seen.add(k)
-                    sigs.append(all_signatures(u, percent))
-                    keys.append(np.full(len(sigs[-1]), k))
-                if sum(map(len, sigs)) > 500_000:
-                    yield _pairs(sigs, keys)
-                    sigs, keys = [], []
-            yield _pairs(sigs, keys)
+            for raw, begin in chunks(b.column(0)):
+                tokens, at = shingle_sets(lower(raw), begin, size)
+                keys, new = _keys(tokens, at), []
+                for i, k in enumerate(keys):
+                    if k is not None and k not in seen:
+                        seen.add(k)
+                        new.append(i)
+                n = np.diff(at)[new]
+                fresh = np.concatenate([tokens[:0], *[tokens[at[i] : at[i + 1]] for i in new]])
+                sigs, whose = all_signatures(fresh, np.concatenate([[0], np.cumsum(n)]).astype(np.int64), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(np.array([keys[i] for i in new], dtype=np.int64)[whose])], names=["sig", "key"])
 
     return work
 
 
-def _pairs(sigs: list, keys: list) -> pa.RecordBatch:
-    s = np.concatenate([np.zeros(0, dtype=np.uint64), *sigs]).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *keys]))], names=["sig", "key"])
-
-
 def _whole(size: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u = [x.view(np.int64) for x in _sets(b, 1, size)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(u, pa.list_(pa.int64()))], names=["key", "tokens"])
+            done = 0
+            for raw, begin in chunks(b.column(1)):
+                tokens, at = shingle_sets(lower(raw), begin, size)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(begin) - 1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens.view(np.int64)))], names=["key", "tokens"])
+                done += len(begin) - 1
 
     return work
 

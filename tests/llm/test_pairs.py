@@ -34,7 +34,27 @@ def test_signatures_meet_whenever_sets_are_similar():
                 b = np.unique(np.concatenate([a[gone:], draw.integers(0, 2**63, new, dtype=np.uint64)]))
                 both = len(a) - gone
                 if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
-                    assert len(np.intersect1d(jaccard_join.all_signatures(a, percent), jaccard_join.all_signatures(b, percent))), (n, gone, new)
+                    sigs, of = jaccard_join.all_signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
+                    assert len(np.intersect1d(sigs[of == 0], sigs[of == 1])), (n, gone, new)
+
+
+def test_chunks_hash_each_text_by_itself(monkeypatch):
+    import pyarrow as pa
+
+    from flowspark.llm import hashing
+
+    draw = random.Random(2)
+    texts = [None, "", " ", "a", "A b", *["".join(draw.choice("ab \n\té") for _ in range(draw.randint(0, 60))) for _ in range(300)], "x y " * 200]
+    want = [len(brute.shingles(t, 3)) for t in texts]
+    for most in (1, 50, 1 << 20):
+        monkeypatch.setattr(hashing, "CHUNK", most)
+        got = []
+        for raw, begin in hashing.chunks(pa.array(["skipped", *texts]).slice(1)):
+            tokens, at = hashing.shingle_sets(hashing.lower(raw), begin, 3)
+            got += [tuple(tokens[i:j]) for i, j in zip(at[:-1], at[1:])]
+        assert [len(g) for g in got] == want
+        first = got if most == 1 else first
+        assert got == first
 
 
 def test_jaccard_on_a_whole_table(spark):
