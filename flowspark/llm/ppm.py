@@ -10,7 +10,7 @@ The trie is never on one machine. Blocks of documents give their distinct grams
 counts; tables of grams, one for each order, are joined from short contexts to long, which gives every gram that
 occurs anywhere its code length; each block gets back the code lengths of its own grams. So what moves grows with the
 text, no model is broadcast, and nothing about the corpus reaches the driver but totals. Words for the base score
-travel the same way.
+travel the same way, as 64-bit hashes: 1e9 different words hold a false match with a chance of 3 %.
 
 Nulls: a null text is empty: one end. A row without doc_id trains by the value of `trains`. Repeated rows train as often
 as they stand there, and each gets a row. An empty table gives an empty result. Extra columns are ignored.
@@ -18,70 +18,70 @@ as they stand there, and each gets a row. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, pick, row_key
+from .hashing import chunks, lower, words_of
 
 ORDER = 4
 START, END = 0xFE, 0xFF
 BLOCK = 24_000_000
+END_WORD = 0  # the key of the end token among the words' hashes
 
 
-def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The gram of each symbol of each text, packed in a long, and where each text's begin."""
-    head, tail = bytes([START] * order), bytes([END])
-    a = np.frombuffer(b"".join(head + t + tail for t in texts), dtype=np.uint8).astype(np.int64)
-    n = np.array([len(t) + 1 for t in texts])
+def grams(raw: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of each symbol of the texts that begin at `at` in raw, packed in a long, and where each text's begin."""
+    k, size = len(at) - 1, np.diff(at)
+    a = np.full(len(raw) + k * (order + 1), START, dtype=np.uint8)
+    a[np.arange(len(raw)) + np.repeat(np.arange(k) * (order + 1) + order, size)] = raw
+    after = at[1:] + np.arange(1, k + 1) * (order + 1)
+    a[after - 1] = END
+    a = a.astype(np.int64)
     g = np.zeros(max(0, len(a) - order), dtype=np.int64)
     for j in range(order + 1):
         g = g << 8 | a[j : len(a) - order + j]
-    start = np.cumsum(n + order) - (n + order)
     inside = np.ones(len(a), dtype=bool)
-    inside[(start[:, None] + n[:, None] + np.arange(order)[None, :]).ravel()] = False  # would span two texts
-    return g[inside[: len(g)]], np.cumsum(n) - n
+    inside[(after[:, None] - 1 - np.arange(order)[None, :]).ravel()] = False  # would span two texts
+    return g[inside[: len(g)]], np.cumsum(size + 1) - (size + 1)
+
+
+def _added(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all pairs (keys, counts) and the sums of their counts."""
+    keys, at = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[k for k, _ in pairs]]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([np.zeros(0), *[n for _, n in pairs]]), len(keys)).astype(np.int64)
 
 
 def _gather(order: int):
     def work(key: tuple, table: pa.Table) -> pa.Table:
-        found = {True: [np.zeros(0, dtype=np.int64)], False: [np.zeros(0, dtype=np.int64)]}
-        words = {True: Counter(), False: Counter()}
-        ends = 0
+        found = {(w, x): [] for w in (False, True) for x in (False, True)}  # by kind of key and training
+        block, ends = key[0].as_py(), 0
         for b in table.to_batches(max_chunksize=1000):
-            for trains in (True, False):
-                texts = [(t or "").encode() for t, x in zip(b.column("text").to_pylist(), b.column("trains").to_pylist()) if x == trains]
-                if texts:
-                    found[trains].append(np.column_stack(np.unique(grams(texts, order)[0], return_counts=True)).ravel())
-                    ends += len(texts) * trains
-                    for t in texts:
-                        words[trains].update(t.lower().split())
-        counts = {}
-        for trains in (True, False):
-            pairs = np.concatenate(found[trains]).reshape(-1, 2)
-            g, at = np.unique(pairs[:, 0], return_inverse=True)
-            counts[trains] = g, np.bincount(at, pairs[:, 1], len(g)).astype(np.int64)
-        block = key[0].as_py()
-        only = np.setdiff1d(counts[False][0], counts[True][0])
-        g = np.concatenate([counts[True][0], only])
-        n = np.concatenate([counts[True][1], np.zeros(len(only), dtype=np.int64)])
-        w = list(words[True] | words[False])
-        end = _rows(block, None, [bytes([10])], np.array([ends], dtype=np.int64))  # the end token, as a word that no text has
-        return pa.Table.from_batches([_rows(block, g, None, n), _rows(block, None, w, np.array([words[True][x] for x in w], dtype=np.int64)), end])
+            trains = b.column("trains")
+            ends += trains.true_count
+            for x in (True, False):
+                for raw, at in chunks(b.column("text").filter(trains if x else pa.compute.invert(trains))):
+                    found[False, x].append(np.unique(grams(raw, at, order)[0], return_counts=True))
+                    found[True, x].append(np.unique(words_of(lower(raw), at)[0].view(np.int64), return_counts=True))
+        out = [_rows(block, True, np.array([END_WORD]), np.array([ends]))]
+        for word in (False, True):
+            known, other = _added(found[word, True]), _added(found[word, False])
+            only = np.setdiff1d(other[0], known[0], assume_unique=True)
+            out.append(_rows(block, word, np.concatenate([known[0], only]), np.concatenate([known[1], np.zeros(len(only), dtype=np.int64)])))
+        return pa.Table.from_batches(out)
 
     return work
 
 
-_ROWS = pa.schema([("block", pa.int32()), ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+_ROWS = pa.schema([("block", pa.int32()), ("word", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])
 
 
-def _rows(block: int, g: np.ndarray | None, w: list[bytes] | None, n: np.ndarray) -> pa.RecordBatch:
-    k = len(n)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(k, block, dtype=np.int32)), pa.array(g) if g is not None else pa.nulls(k, pa.int64()), pa.array(w, pa.binary()) if w is not None else pa.nulls(k, pa.binary()), pa.array(n)], schema=_ROWS)
+def _rows(block: int, word: bool, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block, dtype=np.int32)), pa.array(np.full(len(n), word)), pa.array(keys), pa.array(n)], schema=_ROWS)
 
 
 def code_lengths(counts: DataFrame, order: int) -> DataFrame:
@@ -118,23 +118,25 @@ def code_lengths(counts: DataFrame, order: int) -> DataFrame:
 def _score(order: int):
     def work(key: tuple, left: pa.Table, back: pa.Table) -> pa.Table:
         done = []
-        gram, word = back.column("gram"), back.column("word")
-        own = back.filter(pa.compute.is_valid(gram)).sort_by("gram")
-        g, p = own.column("gram").to_numpy(), own.column("p").to_numpy()
-        rest = back.filter(pa.compute.is_valid(word))
-        base = dict(zip(rest.column("word").to_pylist(), zip(rest.column("p").to_pylist(), rest.column("n").to_pylist())))
-        end, ends = base.get(bytes([10]), (0.0, 0))
+        word = back.column("word").to_numpy()
+        keys, p, known = back.column("key").to_numpy(), back.column("p").to_numpy(), back.column("known").to_numpy()
+        gram_at, gram_p = pd.Index(keys[~word]), p[~word]
+        word_at, word_p, word_known = pd.Index(keys[word]), p[word], known[word].astype(np.int64)
+        end = word_at.get_loc(END_WORD)
         for b in left.to_batches(max_chunksize=1000):
-            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
-            own_grams, start = grams(texts, order)
-            score = np.add.reduceat(p[np.searchsorted(g, own_grams)], start)
-            n, known, sums = [], [], []
-            for t in texts:
-                got = [base[w] for w in t.lower().split()]
-                n.append(len(got) + 1)
-                known.append(sum(c > 0 for _, c in got) + (ends > 0))
-                sums.append(sum(x for x, _ in got) + end)
-            done.append(pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("trains"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "trains", "n_tokens", "n_known", "base_score", "score"]))
+            upto = 0
+            for raw, at in chunks(b.column("text")):
+                n = len(at) - 1
+                own, start = grams(raw, at, order)
+                score = np.add.reduceat(gram_p[gram_at.get_indexer(own)], start)
+                words, begin = words_of(lower(raw), at)
+                count = np.diff(begin)
+                place, of = word_at.get_indexer(words.view(np.int64)), np.repeat(np.arange(n), count)
+                base = np.bincount(of, word_p[place], n) + word_p[end]
+                seen = np.bincount(of, word_known[place], n).astype(np.int64) + word_known[end]
+                doc_id, trains = (b.column(c).slice(upto, n) for c in ("doc_id", "trains"))
+                done.append(pa.RecordBatch.from_arrays([doc_id, trains, pa.array(count + 1, pa.int64()), pa.array(seen), pa.array(base), pa.array(score)], names=["doc_id", "trains", "n_tokens", "n_known", "base_score", "score"]))
+                upto += n
         return pa.Table.from_batches(done)
 
     return work
@@ -147,14 +149,14 @@ def ppm_score(docs: DataFrame, trains: Column, order: int = ORDER, block: int =
     # Blocks are chosen by content, so that both passes agree.
     place = F.pmod(row_key(F.col("doc_id"), F.col("text")), F.lit(max(1, -(-size // block)))).cast("int")
     rows = rows.withColumn("block", place)
-    found = cut(rows.groupBy("block").applyInArrow(_gather(order), "block int, gram long, word binary, n long"), "ppm-found")
-    counts = found.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = cut(rows.groupBy("block").applyInArrow(_gather(order), "block int, word boolean, key long, n long"), "ppm-found")
+    counts = found.filter("not word").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n"))
     lengths = code_lengths(cut(counts, "ppm-grams"), order)
-    words = cut(found.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "ppm-words")
+    words = cut(found.filter("word").groupBy("key").agg(F.sum("n").alias("n")), "ppm-words")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    scored = words.withColumn("p", F.log10((F.col("n") + 1) / (F.lit(float(total + 1)) * (kinds + 1))))
-    back = found.filter("gram is not null").select("block", "gram").join(lengths, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), F.lit(0).cast("long").alias("n"), "p")
-    back = back.unionByName(found.filter("word is not null").select("block", "word").distinct().join(scored, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", "n", "p"))
+    scored = words.select("key", (F.col("n") > 0).alias("known"), F.log10((F.col("n") + 1) / (F.lit(float(total + 1)) * (kinds + 1))).alias("p"))
+    back = found.filter("not word").select("block", "word", "key").join(lengths.select(F.col("gram").alias("key"), F.lit(True).alias("known"), "p"), "key")
+    back = back.unionByName(found.filter("word").select("block", "word", "key").join(scored, "key")).select("block", "word", "key", "known", "p")
     both = rows.groupBy("block").cogroup(back.groupBy("block"))
     out = both.applyInArrow(_score(order), rows.select("doc_id", "trains", *[F.lit(0).cast(t).alias(c) for c, t in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"))]).schema)
     return out.withColumn("train_tokens", F.lit(total).cast("long"))
