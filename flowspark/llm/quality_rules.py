@@ -1,11 +1,16 @@
 """Quality rules whose cutoffs adapt to each language and source (DataFrame functions only).
 
-Every document gets integer statistics inside its own row: no shuffle of words. Each statistic is a share in
-thousandths (or tenths of a character), 0 to 1000, so a count for each value is a quantile sketch with at most 1,001
-counters and an error below one step. Such sketches merge by adding counters, in any order and with the same result,
-which sketches that draw at random do not give; a language's sketch is the sum of its sources' sketches. A document is
-dropped if a statistic lies beyond the outer fence (third quartile plus three times the distance between the
-quartiles, plus a margin) of its own language and source.
+Every document gets its statistics inside its own row: no shuffle of words. The values of each statistic, in each language
+and source, are gathered in a quantile sketch with logarithmic buckets: a positive value x counts in bucket
+ceil(ln x / ln GAMMA), so any quantile is known to within 1 %, whatever the range. Such sketches merge by adding counts,
+in any order and with the same result, which sketches that draw at random do not give; a language's sketch is the sum of
+its sources', and the number of buckets grows with the logarithm of the range only.
+
+A document is dropped if a statistic lies beyond the outer fence of its own language and source: on the logarithmic
+scale, three times the distance between the quartiles of the positive values above the third quartile (or, for the mean
+length of a word, also below the first). The quartiles of a source with n documents are averaged with those of its
+language, which count as WEIGHT documents, and those of a language in the same way with those of all documents, so small
+groups lean on larger ones by degrees. Documents that fail the base rule are no examples.
 
 Nulls: a null text has no words (and fails the base rule); null lang or source count as the empty string. Repeated rows
 each get a row. An empty table gives an empty result. Extra columns are ignored.
@@ -13,15 +18,18 @@ each get a row. An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, cut, pick
 
-GRID = 1000
-#: Per statistic: a margin above the upper fence, and below the lower fence where there is one.
-MARGINS = {"symbols": (60, None), "upper": (150, None), "dup_lines": (500, None), "repeats": (300, None), "word_length": (20, 15)}
-MIN_GROUP = 200
+GAMMA = 1.02
+WEIGHT = 200
+REACH = 3
+#: Statistics: numerator, denominator, whether there is a lower fence too.
+METRICS = {"others": ("n_other", "word_chars", False), "upper": ("n_upper", "word_chars", False), "dup_lines": ("n_dup_lines", "n_lines", False), "repeats": ("n_repeat_words", "n_words", False), "word_length": ("word_chars", "n_words", True)}
 
 
 def text_stats(docs: DataFrame) -> DataFrame:
@@ -33,11 +41,11 @@ def text_stats(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.select(
         "doc_id", "lang", "source", "words", F.size("words").cast("long").alias("n_words"), (F.length(t) - count(r"[\x20\x09-\x0D]")).cast("long").alias("word_chars"),
-        count(r"[#*$%&|<>]").cast("long").alias("n_symbols"), count("[A-Z]").cast("long").alias("n_upper"), lines.alias("lines"),
+        count(r"[#*$%&|<>]").cast("long").alias("n_symbols"), count("[A-Z]").cast("long").alias("n_upper"), count(r"[^\p{L}\p{N}\x20\x09-\x0D]").cast("long").alias("n_other"), lines.alias("lines"),
         # Three words as one 64-bit hash: a false repeat inside one text is as likely as n * n / 2**65.
         F.when(F.size("words") >= 3, F.transform(F.slice("words", 1, F.size("words") - 2), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))).alias("grams"),
     ).drop("words")
-    df = df.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_upper", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "grams")
+    df = df.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_upper", "n_other", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "grams")
     again = F.size(F.array_distinct("grams")) < F.size("grams")
     df = df.withColumn("sorted", F.when(again, F.array_sort(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))).drop("grams")
     return df.withColumn("n_repeat_words", F.coalesce(_covered(F.col("sorted")), F.lit(0)).cast("long")).drop("sorted")
@@ -52,48 +60,49 @@ def _covered(s: Column) -> Column:
     return F.when(s.isNotNull(), F.aggregate(places, start, lambda a, p: F.struct((a["n"] + p + 3 - F.greatest(p, a["end"])).alias("n"), (p + 3).alias("end")), lambda a: a["n"]))
 
 
-def shares(stats: DataFrame) -> DataFrame:
-    """stats and the statistics on the grid of 0 to 1000."""
-    grid = lambda x, of: F.least(F.lit(GRID), F.floor(x / F.greatest(of, F.lit(1)))).cast("int")
-    c = F.col
-    return stats.withColumns({
-        "symbols": grid(c("n_symbols") * 1000, c("word_chars")), "upper": grid(c("n_upper") * 1000, c("word_chars")), "dup_lines": grid(c("n_dup_lines") * 1000, c("n_lines")),
-        "repeats": grid(c("n_repeat_words") * 1000, c("n_words")), "word_length": grid(c("word_chars") * 10, c("n_words")),
-    })
-
-
-def sketches(graded: DataFrame) -> DataFrame:
-    """Mergeable sketches: lang, source, metric, value, n. Counted before the shuffle, so a hot source costs no more."""
-    long = graded.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in MARGINS])).alias("x"))
-    return long.groupBy("lang", "source", "x.metric", "x.value").agg(F.count(F.lit(1)).alias("n"))
-
-
-def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """low and high of each metric for each lang and source. A source with fewer than min_group documents takes its
-    language's sketch, a language with fewer all languages' sketch: sums of the same counters."""
-    keys = sketch.groupBy("lang", "source", "metric").agg(F.sum("n").alias("n")).withColumn("n_lang", F.expr("sum(n) over (partition by lang, metric)"))
-    level = F.when(F.col("n") >= min_group, 0).when(F.col("n_lang") >= min_group, 1).otherwise(2)
-    keys = keys.select("lang", "source", "metric", level.alias("level"))
-    mask = lambda df: df.withColumns({"k_lang": F.when(F.col("level") < 2, F.col("lang")).otherwise(""), "k_source": F.when(F.col("level") < 1, F.col("source")).otherwise("")})
-    every = sketch.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    merged = mask(every).groupBy("level", "k_lang", "k_source", "metric", "value").agg(F.sum("n").alias("n"))
-    cum = merged.withColumns({"upto": F.expr("sum(n) over (partition by level, k_lang, k_source, metric order by value)"), "total": F.expr("sum(n) over (partition by level, k_lang, k_source, metric)")})
-    quart = cum.groupBy("level", "k_lang", "k_source", "metric").agg(F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("value"))).alias("q1"), F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("value"))).alias("q3"))
-    wide = F.col("q3") - F.col("q1")
-    margin = lambda k: F.create_map(*[F.lit(x) for m, v in MARGINS.items() for x in (m, v[k] if v[k] is not None else 10 * GRID)])[F.col("metric")]
-    quart = quart.withColumns({"high": F.col("q3") + 3 * wide + margin(0), "low": F.col("q1") - 3 * wide - margin(1)})
-    out = mask(keys).join(quart, ["level", "k_lang", "k_source", "metric"])
-    return out.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col(x))).alias(f"{m}_{x}") for m in MARGINS for x in ("low", "high")])
-
-
-def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """doc_id, lang, source, the counts, base_failed and kept. The counts are written once, since both the sketches and
-    the filter read them; the fences join by key, and Spark broadcasts them only where their measured size allows."""
-    graded = cut(shares(text_stats(docs)), "quality-stats")
-    limits = fences(sketches(graded), min_group)
+def graded(stats: DataFrame) -> DataFrame:
+    """stats, base_failed, and the logarithm of each statistic: null where it is not positive."""
+    value = lambda n, of: F.when(F.col(n) > 0, F.log(F.col(n) / F.col(of)))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    return stats.withColumns({"base_failed": failed, **{m: value(n, of) for m, (n, of, _) in METRICS.items()}})
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """Mergeable sketches: lang, source, metric, bucket, n. Counted before the shuffle, so a hot source costs no more."""
+    bucket = lambda m: F.ceil(F.col(m) / math.log(GAMMA)).cast("int")
+    long = rows.filter("not base_failed").select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), bucket(m).alias("bucket")) for m in METRICS])).alias("x"))
+    return long.filter("x.bucket is not null").groupBy("lang", "source", "x.metric", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """keys, metric, the logarithms q1 (the lower edge of its bucket) and q3 (the upper edge), and the number of values."""
+    group = [*keys, "metric"]
+    merged = sketch.groupBy(*group, "bucket").agg(F.sum("n").alias("n"))
+    cum = merged.withColumns({"upto": F.sum("n").over(Window.partitionBy(*group).orderBy("bucket")), "total": F.sum("n").over(Window.partitionBy(*group))})
+    at = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bucket")))
+    return cum.groupBy(*group).agg(((at(1) - 1) * math.log(GAMMA)).alias("q1"), (at(3) * math.log(GAMMA)).alias("q3"), F.max("total").alias("n"))
+
+
+def fences(sketch: DataFrame, weight: int = WEIGHT) -> DataFrame:
+    """Logarithms low and high of each metric for each lang and source that has any value."""
+    lean = lambda c: ((F.col("n") * F.col(c) + weight * F.col(f"{c}_up")) / (F.col("n") + weight)).alias(c)
+    above = lambda df: df.withColumnsRenamed({"q1": "q1_up", "q3": "q3_up"}).drop("n")
+    lang = quartiles(sketch, "lang").join(above(quartiles(sketch)), "metric").select("lang", "metric", lean("q1"), lean("q3"))
+    own = quartiles(sketch, "lang", "source").join(above(lang), ["lang", "metric"]).select("lang", "source", "metric", lean("q1"), lean("q3"))
+    wide = REACH * (F.col("q3") - F.col("q1"))
+    ends = {"low": F.col("q1") - wide, "high": F.col("q3") + wide}
+    return own.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, c)).alias(f"{m}_{x}") for m in METRICS for x, c in ends.items()])
+
+
+def quality_rules(docs: DataFrame, weight: int = WEIGHT) -> DataFrame:
+    """doc_id, lang, source, the counts, base_failed and kept. The counts are written once, since both the sketches and
+    the filter read them. The fences, a row for each lang and source, are written too: their size on disk decides whether
+    Spark broadcasts them (below its threshold) or joins by key, where it splits hot keys."""
+    rows = cut(graded(text_stats(docs)), "quality-stats")
+    limits = cut(fences(sketches(rows), weight), "quality-fences")
     inside = F.lit(True)
-    for m in MARGINS:
-        inside = inside & F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
-    out = graded.join(limits, ["lang", "source"]).withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & inside)
+    for m, (_, _, both) in METRICS.items():
+        inside = inside & ~F.coalesce(F.col(m) > F.col(f"{m}_high"), F.lit(False))
+        if both:
+            inside = inside & ~F.coalesce(F.col(m) < F.col(f"{m}_low"), F.lit(False))
+    return rows.join(limits, ["lang", "source"], "left").withColumn("kept", ~F.col("base_failed") & inside)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -147,3 +148,60 @@ def ppm(docs, order):
         w = tokens(t)
         out.append((len(w), sum(words[x] > 0 for x in w), n, sum(math.log10((words[x] + 1) / ((n + 1) * (v + 1))) for x in w), score))
     return out
+
+
+def kept(docs):
+    """Whether the adaptive rules keep each (text, lang, source), from plain sorted lists: quartiles to bucket edges."""
+    import math
+
+    step = math.log(1.02)
+    rows = []
+    for text, lang, source in docs:
+        n, chars, _, dups, again, failed = rules(text)
+        lines = sum(bool(SPACE.search(x)) for x in (text or "").split("\n"))
+        upper = len(re.findall("[A-Z]", text or ""))
+        others = sum(not unicodedata.category(c)[0] in "LN" for w in SPACE.findall(text or "") for c in w)
+        share = lambda a, b: math.log(a / b) if a > 0 else None
+        rows.append((failed, lang or "", source or "", [share(others, chars), share(upper, chars), share(dups, lines), share(again, n), share(chars, n)]))
+
+    def quarts(values, up):
+        if not values:
+            return None
+        b = sorted(math.ceil(v / step) for v in values)
+        n = len(b)
+        q = [(next(x for i, x in enumerate(b) if 4 * (i + 1) >= n) - 1) * step, next(x for i, x in enumerate(b) if 4 * (i + 1) >= 3 * n) * step]
+        return q if up is None else [(n * a + 200 * z) / (n + 200) for a, z in zip(q, up)]
+
+    out = []
+    for failed, lang, source, values in rows:
+        good = not failed
+        for m, v in enumerate(values):
+            if v is None:
+                continue
+            of = lambda test: [r[3][m] for r in rows if not r[0] and r[3][m] is not None and test(r)]  # noqa: E731, B023
+            q = quarts(of(lambda r: r[1:3] == (lang, source)), quarts(of(lambda r: r[1] == lang), quarts(of(lambda r: True), None)))  # noqa: B023
+            if q:
+                wide = 3 * (q[1] - q[0])
+                good = good and v <= q[1] + wide and (m < 4 or v >= q[0] - wide)
+        out.append(good)
+    return out
+
+
+def kd_sizes(rows, shards):
+    """Bytes of each leaf of a plain k-d tree over (size, dims) rows, for rows that all differ in a dimension."""
+    whole = [max(1, max(r[1][d] for r in rows) - min(r[1][d] for r in rows)) for d in range(len(rows[0][1]))]
+
+    def leaves(part, k):
+        if k == 1 or not part:
+            return [sum(r[0] for r in part)] + [0] * (k - 1)
+        extent = lambda d: (max(r[1][d] for r in part) - min(r[1][d] for r in part)) / whole[d]
+        d = max(range(len(whole)), key=lambda i: (extent(i), -i))
+        part = sorted(part, key=lambda r: r[1][d])
+        want, below = sum(r[0] for r in part) * (k // 2) / k, 0
+        for i, r in enumerate(part):
+            if below + r[0] >= want:
+                cut = i + (below + r[0] - want < want - below)
+                return leaves(part[:cut], k // 2) + leaves(part[cut:], k - k // 2)
+            below += r[0]
+
+    return leaves(rows, shards)
