@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -37,6 +38,13 @@ def test_rules_edges(spark, odd):
     assert quality_rules.quality_rules(odd.limit(0)).count() == 0
 
 
+def test_verdicts_match_plain_quartiles(spark):
+    docs = queries.table(spark, SF, "documents").collect()
+    rows = {r.doc_id: r.kept for r in queries.op10_adaptive_rules(spark, SF).collect()}
+    assert [rows[r.doc_id] for r in docs] == brute.kept([(r.text, r.lang, r.source) for r in docs])
+    assert 0 < sum(rows.values()) < len(rows)
+
+
 def test_sketches_merge_and_fences_follow_the_group(spark):
     rows = [(i, " ".join(f"w{i:03}x{j:02}" for j in range(60)) + (" ###" * 60 if i % 50 == 0 else ""), "en", f"s{i % 2}") for i in range(600)]
     out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
@@ -103,6 +111,21 @@ def test_shards(spark):
     assert max(size) - min(size) <= 4 * 14
 
 
+def test_shards_match_a_plain_tree(spark):
+    draw = random.Random(3)
+    sizes = draw.sample(range(1, 4000), 700)
+    docs = [(i, "x" * n, "en", "s") for i, n in enumerate(sizes)]
+    rows = sharding.kd_shards(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), shards=11).collect()
+    assert check_shards([d[:2] for d in docs], rows, 11) == brute.kd_sizes([(n + 1, (0, 0, n)) for n in sizes], 11)
+
+
+def test_shards_do_not_depend_on_the_split(spark):
+    docs = queries.table(spark, SF, "documents").select("doc_id", "text", "lang", "source")
+    docs = docs.unionByName(docs.filter("doc_id % 9 = 0")).unionByName(docs.filter("doc_id = 5").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(200)))).drop("n"))
+    one, two = (Counter(tuple(r) for r in sharding.kd_shards(docs.repartition(n), shards=7).collect()) for n in (1, 5))
+    assert one == two and sum(one.values()) == docs.count()
+
+
 def test_shard_edges(spark, odd):
     assert len(sharding.kd_shards(odd, target_bytes=20000).collect()) == len(ODD)
     assert sharding.kd_shards(odd.limit(0), shards=16).count() == 0
