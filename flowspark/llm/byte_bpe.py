@@ -3,9 +3,14 @@
 A text is cut into pieces by the tokenizer's pattern. A worker keeps what it has encoded, and gives new distinct pieces
 to its own DuckDB, where a row is a token at a position of a piece: a recursive query joins neighbours with the merge
 table and contracts each piece's leftmost pair of least rank until none is left; an ordered aggregation gives the ids
-and, joined with the vocabulary, the bytes that they decode to. A text's ids and bytes are those of its pieces, joined. The recursion keeps the rows of every round, so a chunk
-holds pieces with a sum of squared lengths of at most CHUNK; pieces longer than LONG bytes are contracted by the same
-rule with a heap. Beyond KEEP pieces a worker forgets the later half; results do not depend on it.
+and, joined with the vocabulary, the bytes that they decode to. A piece that is a token enters as that one token. A
+text's ids and bytes are those that its pieces' aggregations gave, joined.
+
+The recursion keeps the rows of every round, so a chunk holds pieces with a sum of squared lengths of at most CHUNK. A
+piece of more than LONG bytes has a query of its own, which runs some rounds, gives its tokens and goes on from them; a
+round contracts all its pairs of the least rank, from the left where they overlap, which gives the same as one by one
+unless the vocabulary has a lesser rank for a pair with the new token: then only the leftmost. A worker keeps about two
+generations of KEEP pieces and forgets those that the later did not use; results do not depend on it.
 
 The vocabulary file is a parameter and is read by each worker from its own installation.
 
@@ -17,11 +22,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import itertools
-import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +34,7 @@ from .common import pick
 
 CHUNK = 1_000_000
 LONG = 1000
-KEEP = 700_000
+KEEP = 200_000
 
 _ENCODE = """
 with recursive tokens(round, w, pos, id) as (
@@ -52,6 +56,28 @@ select w, string_agg(t.id::varchar, ' ' order by pos) as ids, unhex(string_agg(v
 from tokens t join ends using (w, round) join vocabulary v on v.id = t.id
 group by w
 """
+_ROUNDS = """
+with recursive tokens(round, pos, after, id) as (
+    select 0, pos, after, id from first_rows
+    union all
+    (
+        with pairs as (
+            select a.pos, z.pos as gone, z.after, a.after - a.pos as width, m.id, m.early
+            from tokens a join tokens z on z.pos = a.after join merges m on m.l = a.id and m.r = z.id
+        ),
+        least as (select *, pos - width * row_number() over (order by pos) as run from pairs where id = (select min(id) from pairs)),
+        hit as materialized (select pos, gone, after, id from least qualify row_number() over (partition by run order by pos) % 2 = 1 and (not early or pos = min(pos) over ()))
+        select t.round + 1, t.pos, coalesce(h.after, t.after), coalesce(h.id, t.id)
+        from tokens t left join hit h on h.pos = t.pos left join hit g on g.gone = t.pos
+        where g.gone is null and t.round < {rounds} and exists (select 1 from hit)
+    )
+)
+select round, pos, after, id from tokens where round = (select max(round) from tokens) order by pos
+"""
+_ENDS = """
+select string_agg(t.id::varchar, ' ' order by pos) as ids, unhex(string_agg(v.hex, '' order by pos)) as decoded
+from first_rows t join vocabulary v on v.id = t.id
+"""
 
 
 class Encoder:
@@ -62,80 +88,76 @@ class Encoder:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.split = regex.compile(pattern).findall
-        self.tokens = {r: t for t, r in self.ranks.items()}
-        self.single = [self.ranks[bytes([i])] for i in range(256)]
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": tempfile.mkdtemp()})
+        early = {x for l, r, m in merges for x in (l, r) if m < x}  # a token that a lesser rank may take up at once
+        # What a chunk holds is bounded, so nothing is spilled to the executor's disk.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         l, r, m = map(list, zip(*merges))
-        pairs = pa.table({"l": pa.array(l, pa.int64()), "r": pa.array(r, pa.int64()), "id": pa.array(m, pa.int64())})
-        words = pa.table({"id": pa.array(list(self.tokens), pa.int64()), "hex": [t.hex() for t in self.tokens.values()]})
+        pairs = pa.table({"l": pa.array(l, pa.int64()), "r": pa.array(r, pa.int64()), "id": pa.array(m, pa.int64()), "early": [x in early for x in m]})
+        words = pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "hex": [t.hex() for t in self.ranks]})
         self.db.register("pair_rows", pairs)
         self.db.register("word_rows", words)
         self.db.execute("create table merges as from pair_rows; create table vocabulary as from word_rows")
         self.db.unregister("pair_rows")
         self.db.unregister("word_rows")
-        self.kept: dict[str, str] = {}  # a piece's ids as text
-        self.odd: dict[str, bytes] = {}  # what a piece's ids decode to, if that is not the piece
+        self.kept: dict[str, tuple[str, bytes]] = {}  # a piece's ids as text, and the bytes that they decode to
+        self.older: dict[str, tuple[str, bytes]] = {}  # the generation before; what is used again moves up
 
     def learn(self, pieces: list[str]) -> None:
         """Encodes new pieces, in chunks."""
         chunk, cost = [], 0
         for p in pieces:
             raw = p.encode()
-            if raw in self.ranks:  # a token as a whole, as the contraction would find by rank
-                self._keep(p, raw, str(self.ranks[raw]), self.tokens[self.ranks[raw]])
-            elif len(raw) > LONG:
-                ids = self.contract(raw)
-                self._keep(p, raw, " ".join(map(str, ids)), b"".join(self.tokens[i] for i in ids))
-            else:
-                chunk.append((p, raw))
-                cost += len(raw) ** 2
-                if cost > CHUNK:
-                    self._query(chunk)
-                    chunk, cost = [], 0
+            if len(raw) > LONG and raw not in self.ranks:
+                self.kept[p] = self._long(raw)
+                continue
+            chunk.append((p, raw))
+            cost += len(raw) ** 2
+            if cost > CHUNK:
+                self._query(chunk)
+                chunk, cost = [], 0
         if chunk:
             self._query(chunk)
 
     def _query(self, chunk: list[tuple[str, bytes]]) -> None:
-        import numpy as np
-
-        n = np.array([len(raw) for _, raw in chunk])
-        ids = np.array(self.single, dtype=np.int64)[np.frombuffer(b"".join(raw for _, raw in chunk), dtype=np.uint8)]
-        pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        self.db.register("first_rows", pa.table({"w": np.repeat(np.arange(len(n)), n), "pos": pos, "id": ids}))
+        whole = [self.ranks.get(raw) for _, raw in chunk]
+        n = np.array([len(raw) if r is None else 1 for (_, raw), r in zip(chunk, whole)])
+        first = np.cumsum(n) - n
+        ids = self.single[np.frombuffer(b"".join(raw if r is None else b"\0" for (_, raw), r in zip(chunk, whole)), dtype=np.uint8)]
+        ids[first[[r is not None for r in whole]]] = [r for r in whole if r is not None]
+        self.db.register("first_rows", pa.table({"w": np.repeat(np.arange(len(n)), n), "pos": np.arange(n.sum()) - np.repeat(first, n), "id": ids}))
         for w, ids, decoded in self.db.execute(_ENCODE).fetchall():
-            self._keep(*chunk[w], ids, decoded)
+            self.kept[chunk[w][0]] = ids, decoded
         self.db.unregister("first_rows")
 
-    def _keep(self, piece: str, raw: bytes, ids: str, decoded: bytes) -> None:
-        self.kept[piece] = ids
-        if decoded != raw:
-            self.odd[piece] = decoded
-
-    def contract(self, raw: bytes) -> list[int]:
-        """The same contraction with a heap of (rank, position), for long pieces."""
-        n = len(raw)
-        part, after, before = [raw[i : i + 1] for i in range(n)], list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(self.ranks[raw[i : i + 2]], i, raw[i : i + 2]) for i in range(n - 1) if raw[i : i + 2] in self.ranks]
-        heapq.heapify(heap)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            j = after[i] if part[i] else n
-            if j >= n or part[i] + part[j] != both:
-                continue
-            part[i], part[j], after[i] = both, b"", after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] < n and (pair := part[a] + part[after[a]]) in self.ranks:
-                    heapq.heappush(heap, (self.ranks[pair], a, pair))
-        return [self.ranks[t] for t in part if t]
+    def _long(self, raw: bytes) -> tuple[str, bytes]:
+        at = np.arange(len(raw))
+        rows = pa.table({"pos": at, "after": at + 1, "id": self.single[np.frombuffer(raw, dtype=np.uint8)]})
+        while True:
+            rounds = max(8, CHUNK // len(rows))
+            self.db.register("first_rows", rows)
+            rows = self.db.sql(_ROUNDS.format(rounds=rounds)).to_arrow_table()
+            self.db.unregister("first_rows")
+            if rows.column("round")[0].as_py() < rounds:
+                break
+        self.db.register("first_rows", rows)
+        found = self.db.execute(_ENDS).fetchall()[0]
+        self.db.unregister("first_rows")
+        return found
 
     def pieces(self, texts: list[str]) -> list[list[str]]:
+        """The pieces of each text; all of them are in kept afterwards."""
         found = [self.split(t) for t in texts]
         if len(self.kept) > KEEP:
-            self.kept = dict(itertools.islice(self.kept.items(), KEEP // 2))
-        self.learn([p for p in set(itertools.chain.from_iterable(found)) if p not in self.kept])
+            self.kept, self.older = {}, self.kept
+        new = []
+        for p in set(itertools.chain.from_iterable(found)).difference(self.kept):
+            if p in self.older:
+                self.kept[p] = self.older[p]
+            else:
+                new.append(p)
+        self.learn(new)
         return found
 
 
@@ -148,7 +170,7 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
-def _batches(texts: pa.Array, most: int = 2_000_000) -> Iterator[list[str]]:
+def _batches(texts: pa.Array, most: int = 500_000) -> Iterator[list[str]]:
     group, size = [], 0
     for t in texts:
         t = t.as_py() or ""
@@ -171,8 +193,9 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFr
             n, out, raw = [], [], []
             for texts in _batches(b.column(1)):
                 for found in own.pieces(texts):
-                    line = " ".join([own.kept[p] for p in found])
-                    whole = b"".join([own.odd.get(p) or p.encode() for p in found]) if own.odd else "".join(found).encode()
+                    got = [own.kept[p] for p in found]
+                    line = " ".join([x for x, _ in got])
+                    whole = b"".join([x for _, x in got])
                     n.append(line.count(" ") + 1 if line else 0)
                     out.append(line if ids else hashlib.sha256(line.encode()).hexdigest())
                     raw.append(whole if ids else hashlib.sha256(whole).hexdigest())
