@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -178,18 +178,22 @@ def _joined(runs: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def scan_items(docs: DataFrame, items: DataFrame, window: int = 8, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with __n (words), __runs (flat firsts and ends of hit words), __items and __longest added."""
+def scan_items(docs: DataFrame, items: DataFrame, window: int = 8, block_words: int = BLOCK_WORDS, after: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
+    """docs with __n (words), __runs (flat firsts and ends of hit words), __items and __longest added; or what `after` makes
+    of such batches, of docs' own columns: in the same worker, so that no second one holds the texts."""
     sc = docs.sparkSession.sparkContext
     names = docs.columns
     text = names.index("text")
     docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
     out = docs.selectExpr("*", "0L as __n", "cast(array() as array<int>) as __runs", "cast(array() as array<string>) as __items", "0 as __longest")
-    for k, block in enumerate(item_blocks(items, window, block_words)):
+    own = out.select(*docs.columns).schema
+    blocks = item_blocks(items, window, block_words)
+    for k, block in enumerate(blocks):
+        finish = after if k == len(blocks) - 1 else None
         digest = hashlib.sha256(repr(block).encode()).hexdigest()
         shared = sc.broadcast((digest, block))  # at most block_words words
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, k=k, finish=finish) -> Iterator[pa.RecordBatch]:
             sam = _automaton(shared, window)
             for b in batches:
                 n, runs, found, longest = [], [], [], []
@@ -207,10 +211,11 @@ def scan_items(docs: DataFrame, items: DataFrame, window: int = 8, block_words:
                     found.append(sorted(f))
                     longest.append(m)
                 new = [pa.array(x, c.type) for x, c in zip((n, runs, found, longest), old)]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *new], schema=b.schema)
+                done = pa.RecordBatch.from_arrays([*b.columns[: len(names)], *new], schema=b.schema)
+                yield finish(done) if finish else done
 
-        out = out.mapInArrow(scan, out.schema)
-    return out.toDF(*names, "__n", "__runs", "__items", "__longest")
+        out = out.mapInArrow(scan, own if finish else out.schema)
+    return out.toDF(*names, *[] if after else ("__n", "__runs", "__items", "__longest"))
 
 
 _HIT = "cast(aggregate(sequence(0, size(__runs) div 2), 0, (a, i) -> a + coalesce(get(__runs, 2 * i + 1) - get(__runs, 2 * i), 0)) as long)"
@@ -226,25 +231,25 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 8, max
     """docs without the spans of hit words; a document of which more than max_coverage is hit goes as a whole."""
     names = docs.columns
     text = names.index("text")
-    out = scan_items(docs, items, window)
-    out = out.toDF(*[f"c{i}" for i in range(len(names))], "__n", "__runs", "__items", "__longest").filter(f"{_HIT} <= {max_coverage} * __n").drop("__n", "__items", "__longest")
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = []
-            for t, r in zip(b.column(text), b.column(len(names))):
-                t, r = t.as_py(), r.as_py()
-                if r:
-                    raw = t.encode()
-                    ends = [m.span() for m in _WORD.finditer(raw.translate(_FOLD))]
-                    kept, at = [], 0
-                    for a, z in zip(r[::2], r[1::2]):
-                        kept.append(raw[at : ends[a][0]])
-                        at = ends[z - 1][1]
-                    t = b"".join([*kept, raw[at:]]).decode()
-                texts.append(t)
-            cols = b.columns[: len(names)]
-            cols[text] = pa.array(texts, cols[text].type)
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[: len(names)])
-
-    return out.mapInArrow(clean, out.drop("__runs").schema).toDF(*names)
+
+    def clean(b: pa.RecordBatch) -> pa.RecordBatch:
+        keep, texts = [], []
+        for i, (t, n, r) in enumerate(zip(b.column(text), b.column(len(names)), b.column(len(names) + 1))):
+            t, r = t.as_py(), r.as_py()
+            if sum(r[1::2]) - sum(r[::2]) > max_coverage * n.as_py():
+                continue
+            if r:
+                raw = t.encode()
+                ends = [m.span() for m in _WORD.finditer(raw.translate(_FOLD))]
+                kept, at = [], 0
+                for a, z in zip(r[::2], r[1::2]):
+                    kept.append(raw[at : ends[a][0]])
+                    at = ends[z - 1][1]
+                t = b"".join([*kept, raw[at:]]).decode()
+            keep.append(i)
+            texts.append(t)
+        cols = [c.take(pa.array(keep, pa.int64())) for c in b.columns[: len(names)]]
+        cols[text] = pa.array(texts, b.column(text).type)
+        return pa.RecordBatch.from_arrays(cols, names=b.schema.names[: len(names)])
+
+    return scan_items(docs, items, window, after=clean)
