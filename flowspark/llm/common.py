@@ -27,6 +27,23 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("\x00")), F.coalesce(text, F.lit("")), text.isNull())
 
 
+def position(df: DataFrame, name: str) -> int:
+    """The place of the first column that is named exactly so."""
+    return df.columns.index(name)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ...: names of a user's columns cannot clash with an operator's own."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def without_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs whose row key is (left_semi) or is not (left_anti) in the column row of keys."""
+    rows = numbered(docs)
+    own = row_key(F.col(f"c{position(docs, 'doc_id')}"), F.col(f"c{position(docs, 'text')}"))
+    return rows.withColumn("row", own).join(keys, "row", how).drop("row").toDF(*docs.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where it is unset (tests), a folder of our own, set for the session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

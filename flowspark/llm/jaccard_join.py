@@ -28,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pick, row_key
+from .common import cut, numbered, pick, position, row_key
 from .hashing import chunks, lower, mix, shingle_sets
 
 BAND = 1.3
@@ -320,11 +320,12 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Components go by their own key, so null or repeated doc_ids bring no unlinked texts together."""
     found = row_components(docs, size, percent)
     empty = F.col("n_shingles") == 0
-    best = found.filter(~empty).groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("__row"))
-    keep = cut(best.select("__row").unionByName(found.filter(empty).select(F.col("row").alias("__row"))).distinct(), "jaccard-keep")
-    names = docs.columns
-    rows = docs.withColumn("__row", row_key(docs["doc_id"], docs["text"])).join(keep, "__row", "left_semi")
+    best = found.filter(~empty).groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
+    keep = cut(best.select("row").unionByName(found.filter(empty).select("row")).distinct(), "jaccard-keep")
+    rows = numbered(docs)
+    doc_id, text = (F.col(f"c{position(docs, n)}") for n in ("doc_id", "text"))
+    rows = rows.withColumn("row", row_key(doc_id, text)).join(keep, "row", "left_semi")
     # equal rows share a row key: one of them stays, unless empty
-    blank = F.coalesce(F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""), F.lit("")) == ""
-    place = F.expr("row_number() over (partition by __row order by doc_id)")
-    return rows.withColumn("__blank", blank).withColumn("__place", place).filter("__blank or __place = 1").select(*names)
+    blank = F.coalesce(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), F.lit("")) == ""
+    place = F.row_number().over(Window.partitionBy("row").orderBy(doc_id))
+    return rows.withColumns({"blank": blank, "place": place}).filter("blank or place = 1").drop("row", "blank", "place").toDF(*docs.columns)

@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, row_key
+from .common import cut, pick, row_key, without_rows
 
 FEATURES = 256
 BINS = 512
+ROWS = 2000  # whose features are held at a time
 RIDGE = 1.0
 SEED = 20240501
 NAMES = (
@@ -76,7 +77,9 @@ def _sums(parts: DataFrame, width: int, rows_to_sums) -> np.ndarray:
         for b in batches:
             if b.num_rows:
                 x = np.array(b.column(0).flatten(), dtype=float).reshape(b.num_rows, -1)
-                total += rows_to_sums(x, np.array(b.column(1), dtype=float))
+                y = np.array(b.column(1), dtype=float)
+                for i in range(0, len(x), ROWS):
+                    total += rows_to_sums(x[i : i + ROWS], y[i : i + ROWS])
         yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
 
     def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +174,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, trains: Column, calibrates
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array(b.column(2).flatten(), dtype=float).reshape(b.num_rows, len(NAMES))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.score(x), pa.float64())], names=["doc_id", "row", "score"])
+            score = np.concatenate([np.zeros(0), *[model.score(x[i : i + ROWS]) for i in range(0, len(x), ROWS)]])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], names=["doc_id", "row", "score"])
 
     return seen.mapInArrow(work, seen.select("doc_id", "row", F.lit(0.0).alias("score")).schema)
 
@@ -181,6 +185,6 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3) ->
     calibration. Each text is judged by its own score, whatever other rows its doc_id, null or repeated, has."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     scores = score_quality(docs, labels, F.lit(True), fold == 4)
-    low = scores.filter(F.col("score") < least).select(F.col("row").alias("__row")).distinct()
-    rows = docs.withColumn("__row", row_key(docs["doc_id"], docs["text"]))
-    return rows.join(low, "__row", "left_anti").select(*docs.columns)
+    # Written, so that its size is known: below Spark's threshold it is broadcast and no text moves.
+    low = cut(scores.filter(F.col("score") < least).select("row").distinct(), "quality-low")
+    return without_rows(docs, low, "left_anti")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, row_key
+from .common import cut, numbered, pick, position, row_key
 
 #: Patterns, and the least length of group 2 (assign) or of the match.
 BASE = {
@@ -103,15 +103,15 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def mask_secrets(docs: DataFrame, scope: int = SCOPE, mask: str = "[SECRET]") -> DataFrame:
     """docs with every span, overlapping ones as one, replaced by mask. Other texts stay as they are."""
-    one = find_secrets(docs, scope).filter(F.size("spans") > 0).dropDuplicates(["key"]).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    names = docs.columns
-    out = docs.withColumn("__key", row_key(docs["doc_id"], docs["text"])).join(one, "__key", "left")
+    one = find_secrets(docs, scope).filter(F.size("spans") > 0).dropDuplicates(["key"]).select("key", "spans")
+    doc_id, text = (F.col(f"c{position(docs, n)}") for n in ("doc_id", "text"))
+    out = numbered(docs).withColumn("key", row_key(doc_id, text)).join(one, "key", "left")
     start = F.struct(F.lit("").alias("s"), F.lit(0).alias("end"))
-    text = F.col("text")
 
     def step(a, x):
         gap = F.when(x["start"] >= a["end"], F.concat(a["s"], text.substr(a["end"] + 1, x["start"] - a["end"]), F.lit(mask))).otherwise(a["s"])
         return F.struct(gap.alias("s"), F.greatest(a["end"], x["end"]).alias("end"))
 
-    clean = F.aggregate("__spans", start, step, lambda a: F.concat(a["s"], text.substr(a["end"] + 1, F.length(text))))
-    return out.withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(clean)).select(*names)
+    clean = F.aggregate("spans", start, step, lambda a: F.concat(a["s"], text.substr(a["end"] + 1, F.length(text))))
+    masked = F.when(F.col("spans").isNull(), text).otherwise(clean)
+    return out.withColumn(f"c{position(docs, 'text')}", masked).select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
