@@ -10,60 +10,103 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.protocols import Malformed, Protocol, Truncated, routes
+from ..functions.protocols import DEPTHS, Malformed, Protocol, Truncated, routes
 
 #: The class of each reason.
-STOP_CLASSES = {"complete": "clean", "terminal": "clean", "unclaimed_route": "unknown_payload", "truncated": "malformed", "plugin_error": "malformed", "depth_cap": "suspicious"}
+STOP_CLASSES = {"complete": "clean", "terminal": "clean", "unclaimed_route": "unknown_payload", "unknown_hint": "unknown_payload", "truncated": "malformed", "plugin_error": "malformed", "depth_cap": "suspicious"}
+CLASSES = ["clean", "unknown_payload", "malformed", "suspicious"]
 MAX_LAYERS = 32
-LAYER = "struct<protocol string, offset int, header_len int, key string, dir int, fields array<struct<name string, num long, raw binary, text string>>>"
+LIKELY, EXPECTED, NEAR, SAMPLE = 50, 15, 5, 256  # fixed values: least score of a guess, what a likely predecessor adds, near misses and bytes kept
+LAYER = "struct<protocol string, offset int, header_len int, key string, dir int, guessed boolean, fields array<struct<name string, num long, raw binary, text string>>>"
 _FIELD = pa.struct([("name", pa.string()), ("num", pa.int64()), ("raw", pa.binary()), ("text", pa.string())])
-_LAYER = pa.struct([("protocol", pa.string()), ("offset", pa.int32()), ("header_len", pa.int32()), ("key", pa.string()), ("dir", pa.int32()), ("fields", pa.list_(_FIELD))])
+_LAYER = pa.struct([("protocol", pa.string()), ("offset", pa.int32()), ("header_len", pa.int32()), ("key", pa.string()), ("dir", pa.int32()), ("guessed", pa.bool_()), ("fields", pa.list_(_FIELD))])
+NEAR_MISSES = "array<struct<protocol string, score int>>"
 
 
-def walk(buf: bytes, link_type: int | None, table: dict[str, Protocol], most: int = MAX_LAYERS) -> tuple[list[dict], str, str | None, int]:
-    """Layers, the reason to stop, the route that nothing claims, and the number of bytes left."""
-    at, layers, wanted = 0, [], [f"link:{link_type}"]
+def _field(name: str, x) -> dict:
+    """Lists are shown as text, their items joined by commas."""
+    if isinstance(x, list):
+        x = ",".join(i.hex() if isinstance(i, bytes) else str(i) for i in x)
+    return {"name": name, "num": (x if x < 1 << 63 else x - (1 << 64)) if isinstance(x, int) else None, "raw": x if isinstance(x, bytes) else None, "text": x if isinstance(x, str) else None}
+
+
+def scores(buf: bytes, table: dict[str, Protocol], before: str | None) -> list[tuple[int, Protocol]]:
+    """What each protocol's probe gives, best first, ties in order of registration."""
+    known = [p for r, p in table.items() if r.startswith("name:") and p.probe]
+    got = [(min(100, n + EXPECTED * (before in p.expected)), p) for p in known if (n := p.probe(buf)) > 0]
+    return sorted(got, key=lambda x: -x[0])
+
+
+def walk(buf: bytes, link_type: int | None, table: dict[str, Protocol], most: int = MAX_LAYERS, depth: str = "full", guess: bool = False, entry: str | None = None, until: str | None = None) -> tuple[list[dict], str, str | None, int]:
+    """Layers, the reason to stop, the route that nothing claims, and the number of bytes left. entry names the first
+    protocol instead of the link type; guess allows probes where a header says that anything may follow, or nothing claims
+    the link type; until stops after that protocol."""
+    at, layers, before = 0, [], []
+    wanted = [f"name:{entry}" if entry else f"link:{link_type}"]
     while at < len(buf):
-        if not wanted:
-            return layers, "terminal", None, len(buf) - at
+        here, last = buf[at:], before[-1][0] if before else None
+        if not wanted or last is not None and last == until:
+            return layers, "terminal", None, len(here)
         if len(layers) == most:
-            return layers, "depth_cap", None, len(buf) - at
-        able = [table[r] for r in wanted if r in table]
+            return layers, "depth_cap", None, len(here)
+        able, guessed = [table[r] for r in wanted if r in table], False
         if not able:
-            return layers, "unclaimed_route", wanted[0], len(buf) - at
+            named = wanted[0].removeprefix("name:")
+            route = None if wanted == ["unknown"] else f"custom:{named}:0" if wanted[0].startswith("name:") else wanted[0]
+            able = [p for n, p in scores(here, table, last) if n >= LIKELY] if guess and (route is None or not layers) else []
+            guessed = True
+            if not able:
+                return layers, "unclaimed_route" if route else "unknown_hint", route, len(here)
+        failed = None
         for p in able:
             try:
-                v, size = p.parse(buf[at:])
+                v, size = p.parse(here, before)
+                if size > len(here):
+                    raise Malformed(f"{p.name}: header of {size} bytes")
                 break
             except (Malformed, Truncated) as e:
                 failed = e
         else:
-            return layers, "truncated" if len(wanted) == 1 and isinstance(failed, Truncated) else "plugin_error", None, len(buf) - at
+            if guessed:
+                return layers, "unclaimed_route" if wanted != ["unknown"] else "unknown_hint", None if wanted == ["unknown"] else wanted[0], len(here)
+            return layers, "truncated" if len(wanted) == 1 and isinstance(failed, Truncated) else "plugin_error", None, len(here)
         key, way = p.key(v) or (None, None)
-        layers.append({"protocol": p.name, "offset": at, "header_len": size, "key": key, "dir": way, "fields": [{"name": n, "num": x if isinstance(x, int) else None, "raw": x if isinstance(x, bytes) else None, "text": x if isinstance(x, str) else None} for n, x in v.items()]})
+        shown = [] if depth == "none" else [_field(n, x) for n, x in p.shown(v, depth).items()]
+        layers.append({"protocol": p.name, "offset": at, "header_len": size, "key": key, "dir": way, "guessed": guessed, "fields": shown})
+        before.append((p.name, v))
         at, wanted = at + size, p.after(v)
     return layers, "complete", None, 0
 
 
-def dissect(packets: DataFrame, add: dict[str, str] | None = None, remove: tuple[str, ...] = (), most: int = MAX_LAYERS) -> DataFrame:
+def dissect(packets: DataFrame, add: dict[str, str] | None = None, remove: tuple[str, ...] = (), most: int = MAX_LAYERS, depth: str = "full", guess: bool = False, entry: str | None = None, until: str | None = None, diagnose: bool = False, protocols: list[Protocol] | None = None) -> DataFrame:
     """packets (packet_no, ts, origlen, link_type, data and any others) without data, with layers, stop, stop_class, route
-    (that nothing claims) and opaque_len."""
-    table = routes(add=add, remove=remove)
+    (that nothing claims) and opaque_len. depth says which fields are taken out: none, keys, structural or full; keys and
+    directions are always there. With diagnose, payload that nothing claims behind a layer has near_misses (the best probe
+    scores) and sample (its first bytes)."""
+    if depth not in DEPTHS:
+        raise ValueError(f"depth {depth}")
+    table = routes(protocols, add, remove)
     kept = [c for c in packets.columns if c != "data"]
+    more = ["near_misses", "sample"] if diagnose else []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, link = b.column(b.schema.names.index("data")), b.column(b.schema.names.index("link_type"))
-            out = [walk(d.as_py() or b"", t.as_py(), table, most) for d, t in zip(data, link)]
+            data = [d.as_py() or b"" for d in b.column(b.schema.names.index("data"))]
+            out = [walk(d, t.as_py(), table, most, depth, guess, entry, until) for d, t in zip(data, b.column(b.schema.names.index("link_type")))]
             cols = [b.column(b.schema.names.index(c)) for c in kept]
             cols += [pa.array([o[0] for o in out], pa.list_(_LAYER)), pa.array([o[1] for o in out], pa.string()), pa.array([STOP_CLASSES[o[1]] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string()), pa.array([o[3] for o in out], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "layers", "stop", "stop_class", "route", "opaque_len"])
+            if diagnose:
+                lost = [STOP_CLASSES[o[1]] == "unknown_payload" and bool(o[0]) for o in out]
+                tail = [d[len(d) - o[3] :] for d, o in zip(data, out)]
+                near = [[{"protocol": p.name, "score": n} for n, p in scores(t, table, o[0][-1]["protocol"])[:NEAR]] if x else None for t, o, x in zip(tail, out, lost)]
+                cols += [pa.array(near, pa.list_(pa.struct([("protocol", pa.string()), ("score", pa.int32())]))), pa.array([t[:SAMPLE] if x else None for t, x in zip(tail, lost)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "layers", "stop", "stop_class", "route", "opaque_len", *more])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packets.schema if f.name != "data")
-    return packets.mapInArrow(work, f"{schema}, layers array<{LAYER}>, stop string, stop_class string, route string, opaque_len int")
+    return packets.mapInArrow(work, f"{schema}, layers array<{LAYER}>, stop string, stop_class string, route string, opaque_len int" + (f", near_misses {NEAR_MISSES}, sample binary" if diagnose else ""))
 
 
 def stop_summary(dissected: DataFrame) -> DataFrame:
@@ -72,5 +115,35 @@ def stop_summary(dissected: DataFrame) -> DataFrame:
 
 def unclaimed(dissected: DataFrame) -> DataFrame:
     """Groups of payload that nothing claims, by the protocol before it and the route asked for."""
-    rows = dissected.filter("stop = 'unclaimed_route'").select(F.try_element_at("layers.protocol", F.lit(-1)).alias("predecessor"), "route", F.col("opaque_len").cast("long").alias("size"), "ts")
+    rows = dissected.filter("stop_class = 'unknown_payload'").select(F.try_element_at("layers.protocol", F.lit(-1)).alias("predecessor"), "route", F.col("opaque_len").cast("long").alias("size"), "ts")
     return rows.groupBy("predecessor", "route").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes_total"), F.min("size").alias("bytes_min"), F.max("size").alias("bytes_max"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+
+
+def unknown_registry(dissected: DataFrame, samples: int = 5, endpoints: int = 64, max_groups: int | None = None) -> DataFrame:
+    """Groups of diagnosed payload (dissect with diagnose): the counts of unclaimed, the first distinct endpoints (protocol
+    and key of the innermost conversation), whether there were more, the near misses with the best top score (the latest of
+    equal ones) and the last samples. max_groups keeps the groups seen last; without it none goes."""
+    at = F.col("packet_no")
+    keyed = F.filter("layers", lambda x: x["key"].isNotNull())
+    inner = F.try_element_at(keyed, F.lit(-1))
+    rows = dissected.filter("sample is not null").select(
+        F.try_element_at("layers.protocol", F.lit(-1)).alias("predecessor"), "route", F.col("opaque_len").cast("long").alias("size"), "ts", at.alias("packet_no"), "near_misses", "sample",
+        F.when(F.size(keyed) > 0, F.concat_ws(":", inner["protocol"], inner["key"])).alias("endpoint"),
+    )
+    group = ["predecessor", "route"]
+    same = lambda a, b: F.col(f"{a}.predecessor").eqNullSafe(F.col(f"{b}.predecessor")) & F.col(f"{a}.route").eqNullSafe(F.col(f"{b}.route"))
+    best = F.coalesce(F.try_element_at("near_misses.score", F.lit(1)), F.lit(0))
+    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes_total"), F.min("size").alias("bytes_min"), F.max("size").alias("bytes_max"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max_by("near_misses", F.struct(best, "packet_no")).alias("near_misses"))
+    last = rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("packet_no")))).filter(F.col("place") <= samples)
+    last = last.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("packet_no", "sample"))), lambda x: x["sample"]).alias("samples"))
+    seen = rows.filter("endpoint is not null").groupBy(*group, "endpoint").agg(F.min("packet_no").alias("packet_no"))
+    met = seen.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("packet_no"))).filter(F.col("place") <= endpoints + 1)
+    met = met.groupBy(*group).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("packet_no", "endpoint"))), 1, endpoints), lambda x: x["endpoint"]).alias("endpoints"), (F.count(F.lit(1)) > endpoints).alias("overflow"))
+    out = counts.alias("c").join(last.alias("l"), same("c", "l"), "left").join(met.alias("m"), same("c", "m"), "left").select("c.*", "l.samples", "m.endpoints", F.coalesce("m.overflow", F.lit(False)).alias("overflow"))
+    return out.orderBy(F.desc("last_seen")).limit(max_groups) if max_groups else out
+
+
+def unknown_table(groups: DataFrame, min_count: int = 1, top: int | None = None) -> DataFrame:
+    """The groups with at least min_count packets, most first, then by route and predecessor, nulls first."""
+    out = groups.filter(F.col("n") >= min_count).orderBy(F.desc("n"), F.asc_nulls_first("predecessor"), F.asc_nulls_first("route"))
+    return out.limit(top) if top is not None else out

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import canonical_key, direction
+from ..sources.tables import numbered, written
 
 
 @dataclass(frozen=True)
@@ -32,40 +33,51 @@ class Layer:
 
 
 def layer_hits(rows: DataFrame, layers: list[Layer], packet_no: Column, ts: Column, size: Column, opaque: Column | None = None) -> DataFrame:
-    """A row for each layer of each record that forms a node: path (string), parent, depth, protocol, key, dir, packet_no, ts,
-    size, opaque (of the innermost such layer only)."""
-    steps = [F.struct(F.lit(x.protocol).alias("protocol"), canonical_key(x).alias("key"), direction(x).alias("dir")) for x in layers]
-    base = rows.select(packet_no.alias("packet_no"), ts.alias("ts"), size.cast("long").alias("size"), (opaque if opaque is not None else F.lit(0)).cast("long").alias("opaque"), F.filter(F.array(*steps), lambda x: x["key"].isNotNull()).alias("steps"))
-    return _hits(base)
+    """A row for each layer of each record that forms a node: path, dir, packet_no (a long), ts, size, opaque (of the innermost
+    such layer only)."""
+    names = [F.concat(F.lit(f"{x.protocol}:"), canonical_key(x)) for x in layers]
+    base = rows.select(packet_no.alias("packet_no"), ts.alias("ts"), size.cast("long").alias("size"), (opaque if opaque is not None else F.lit(0)).cast("long").alias("opaque"), *[n.alias(f"n{i}") for i, n in enumerate(names)], *[direction(x).alias(f"d{i}") for i, x in enumerate(layers)])
+    own = [F.col(f"n{i}") for i in range(len(layers))]
+    last = lambda i: F.coalesce(*own[i + 1 :], F.lit(None).cast("string")).isNull()
+    steps = [F.when(own[i].isNotNull(), F.struct(F.concat_ws("/", *own[: i + 1]).alias("path"), F.col(f"d{i}").alias("dir"), F.when(last(i), F.col("opaque")).otherwise(0).alias("opaque"))) for i in range(len(layers))]
+    return base.select("packet_no", "ts", "size", F.explode(F.array_compact(F.array(*steps))).alias("x")).select("x.path", "x.dir", "packet_no", "ts", "size", "x.opaque")
 
 
 def packet_hits(dissected: DataFrame, packet_no: str = "packet_no") -> DataFrame:
     """The rows of layer_hits for dissected packets."""
-    steps = F.transform(F.filter("layers", lambda x: x["key"].isNotNull()), lambda x: F.struct(x["protocol"].alias("protocol"), x["key"].alias("key"), x["dir"].alias("dir")))
-    return _hits(dissected.select(F.col(packet_no).alias("packet_no"), "ts", F.col("origlen").cast("long").alias("size"), F.col("opaque_len").cast("long").alias("opaque"), steps.alias("steps")))
-
-
-def _hits(base: DataFrame) -> DataFrame:
-    hits = base.select("*", F.posexplode("steps").alias("depth", "step"))
-    name = lambda x: F.concat(x["protocol"], F.lit(":"), x["key"])
-    path = lambda n: F.array_join(F.transform(F.slice("steps", 1, n), name), "/")
-    inner = F.col("depth") == F.size("steps") - 1
-    return hits.select(
-        path(F.col("depth") + 1).alias("path"), F.when(F.col("depth") > 0, path(F.col("depth"))).alias("parent"), "depth", F.col("step.protocol").alias("protocol"), F.col("step.key").alias("key"),
-        F.col("step.dir").alias("dir"), "packet_no", "ts", "size", F.when(inner, F.col("opaque")).otherwise(0).alias("opaque"),
-    )
+    keyed = F.filter("layers", lambda x: x["key"].isNotNull())
+    names = F.transform(keyed, lambda x: F.concat(x["protocol"], F.lit(":"), x["key"]))
+    base = dissected.select(F.col(packet_no).alias("packet_no"), "ts", F.col("origlen").cast("long").alias("size"), F.col("opaque_len").cast("long").alias("opaque"), names.alias("names"), keyed["dir"].alias("dirs"))
+    hits = base.select("*", F.posexplode("dirs").alias("depth", "dir"))
+    inner = F.col("depth") == F.size("names") - 1
+    return hits.select(F.array_join(F.slice("names", 1, F.col("depth") + 1), "/").alias("path"), "dir", "packet_no", "ts", "size", F.when(inner, F.col("opaque")).otherwise(0).alias("opaque"))
+
+
+def of_path(path: Column) -> dict[str, Column]:
+    """parent, depth, protocol and key of a path; keys are hexadecimal, so they hold no separator."""
+    last = F.substring_index(path, "/", -1)
+    return {
+        "parent": F.when(F.length(path) > F.length(last), F.left(path, F.length(path) - F.length(last) - 1)),
+        "depth": (F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))).cast("int"), "protocol": F.substring_index(last, ":", 1), "key": F.substring_index(last, ":", -1),
+    }
 
 
 def streams(hits: DataFrame) -> DataFrame:
-    """A row for each node, with counters for each direction, times, initiator and creation order."""
+    """A row for each node, with counters for each direction, times and initiator. Only the path is a grouping key and all
+    buffers are of fixed width, so Spark aggregates by hash, before the shuffle too; the rest of a node follows from its path."""
     per = lambda d, x: F.sum(F.when(F.col("dir") == d, x).otherwise(0)).cast("long")
     one = F.lit(1)
-    out = hits.groupBy("path", "parent", "depth", "protocol", "key").agg(
+    out = hits.groupBy("path").agg(
         per(0, one).alias("packets_ab"), per(1, one).alias("packets_ba"), per(0, F.col("size")).alias("bytes_ab"), per(1, F.col("size")).alias("bytes_ba"), F.sum("opaque").cast("long").alias("opaque_bytes"),
-        F.min(F.struct("packet_no", "ts", "dir")).alias("a"), F.max(F.struct("packet_no", "ts")).alias("z"),
+        F.min("packet_no").alias("first_packet"), F.min_by("ts", "packet_no").alias("first_seen"), F.max_by("ts", "packet_no").alias("last_seen"), F.min_by("dir", "packet_no").alias("initiator"),
     )
-    out = out.select("path", "parent", "depth", "protocol", "key", "packets_ab", "packets_ba", "bytes_ab", "bytes_ba", "opaque_bytes", F.col("a.packet_no").alias("first_packet"), F.col("a.ts").alias("first_seen"), F.col("z.ts").alias("last_seen"), F.col("a.dir").alias("initiator"))
-    return out.withColumns({"packets": F.col("packets_ab") + F.col("packets_ba"), "bytes": F.col("bytes_ab") + F.col("bytes_ba")})
+    return out.withColumns(of_path(F.col("path"))).withColumns({"packets": F.col("packets_ab") + F.col("packets_ba"), "bytes": F.col("bytes_ab") + F.col("bytes_ba")})
+
+
+def totals(nodes: DataFrame, packets: DataFrame, size: str = "origlen") -> DataFrame:
+    """One row: packets and bytes seen, conversations made, and layers that lack a key field."""
+    seen = packets.agg(F.count(F.lit(1)).alias("packets"), F.coalesce(F.sum(F.col(size).cast("long")), F.lit(0)).alias("bytes"))
+    return seen.crossJoin(nodes.agg(F.count(F.lit(1)).alias("streams_created")))  # two single rows
 
 
 def with_children(nodes: DataFrame) -> DataFrame:
@@ -75,26 +87,70 @@ def with_children(nodes: DataFrame) -> DataFrame:
 
 
 def created_seq(nodes: DataFrame) -> DataFrame:
-    """created_seq added: 0-based order of creation. Numbered within ranges of first packets, so that no task sorts all."""
-    ranged = nodes.repartitionByRange("first_packet", "depth").withColumn("part", F.spark_partition_id())
-    ranged = ranged.withColumn("here", F.row_number().over(Window.partitionBy("part").orderBy("first_packet", "depth")))
-    start = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return ranged.join(start, "part").withColumn("created_seq", F.col("start") + F.col("here") - 1).drop("part", "here", "start")
+    """created_seq added: 0-based order of creation."""
+    return numbered(nodes, "created_seq", "first_packet", "depth")
 
 
 def merged(nodes: DataFrame) -> DataFrame:
-    """Nodes of one (protocol, key) across parents as one row: sums, least first_seen, largest last_seen."""
+    """Nodes of one (protocol, key) across parents as one row: sums, least first_seen, largest last_seen; and, where nodes
+    have created_seq, the list of it."""
     sums = [F.sum(c).alias(c) for c in ("packets_ab", "packets_ba", "bytes_ab", "bytes_ba")]
-    return nodes.groupBy("protocol", "key").agg(*sums, F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.count(F.lit(1)).alias("n_nodes"))
+    more = [F.sort_array(F.collect_list("created_seq")).alias("nodes")] if "created_seq" in nodes.columns else []
+    return nodes.groupBy("protocol", "key").agg(*sums, F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.count(F.lit(1)).alias("n_nodes"), *more)
 
 
 def summary(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("protocol").agg(F.count(F.lit(1)).alias("ever"), F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
+    """Conversations ever made, those still open (closed is null, if nodes have it), packets and bytes of each protocol."""
+    live = [F.count(F.when(F.col("closed").isNull(), 1)).alias("live")] if "closed" in nodes.columns else []
+    return nodes.groupBy("protocol").agg(F.count(F.lit(1)).alias("ever"), *live, F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
+
+
+def layer_list(nodes: DataFrame, protocol: str) -> DataFrame:
+    """The nodes of a protocol; order by created_seq."""
+    return nodes.filter(F.col("protocol") == protocol)
+
+
+def children(nodes: DataFrame, path: str) -> DataFrame:
+    return nodes.filter(F.col("parent") == path)
+
+
+def with_ancestors(nodes: DataFrame) -> DataFrame:
+    """ancestors added: (protocol, key) from the root to the parent."""
+    up = F.split("path", "/")
+    return nodes.withColumn("ancestors", F.transform(F.slice(up, 1, F.size(up) - 1), lambda x: F.struct(F.substring_index(x, ":", 1).alias("protocol"), F.substring_index(x, ":", -1).alias("key"))))
+
+
+ORDERS = {"bytes": "bytes", "packets": "packets", "duration": "duration", "first_seen": None}
+
+
+def sort_columns(by: str) -> list[Column]:
+    """The total order of a view: largest first, ties by creation; first_seen is the order of creation itself."""
+    if by not in ORDERS:
+        raise ValueError(f"order {by}")
+    made = [F.col("first_packet"), F.col("depth")]
+    if by == "first_seen":
+        return made
+    return [F.desc(F.greatest(F.col("last_seen") - F.col("first_seen"), F.lit(0))) if by == "duration" else F.desc(by), *made]
 
 
 def sibling_rank(nodes: DataFrame, by: str = "bytes") -> DataFrame:
-    """rank among siblings, largest first, ties by creation."""
-    return nodes.withColumn("rank", F.row_number().over(Window.partitionBy("parent").orderBy(F.desc(by), "first_packet", "depth")))
+    """rank among siblings. Roots, which may be most of the forest, are numbered by a sort over ranges; children of one
+    parent, which one task ranks, are as many as that parent's conversations."""
+    below = nodes.filter("depth > 0").withColumn("rank", F.row_number().over(Window.partitionBy("parent").orderBy(*sort_columns(by))))
+    roots = numbered(nodes.filter("depth = 0"), "rank", *sort_columns(by)).withColumn("rank", (F.col("rank") + 1).cast("int"))
+    return below.unionByName(roots)
+
+
+def tree(nodes: DataFrame, by: str = "bytes", most: int | None = None) -> DataFrame:
+    """place (0, 1, ... in depth-first order), and last: whether the node is the last of its siblings. A node's sort key is
+    the ranks along its path, in equal widths."""
+    ranked = written(sibling_rank(nodes, by).select("path", "parent", "depth", F.lpad(F.col("rank").cast("string"), 12, "0").alias("rank")), "ranks")
+    last = ranked.groupBy(F.col("parent").alias("above")).agg(F.max("rank").alias("end"))
+    parts = F.split("path", "/")
+    ups = ranked.select("path", "depth", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, 1, n), "/").alias("up")))).alias("x"))
+    ranks = ups.join(ranked.select(F.col("path").alias("up"), F.col("rank").alias("r")), F.col("x.up") == F.col("up")).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x.n", "r"))), lambda x: x["r"]), "/").alias("at"))
+    placed = numbered(ranked.join(last, F.col("parent").eqNullSafe(F.col("above"))).select("path", "depth", (F.col("rank") == F.col("end")).alias("last")).join(ranks, "path"), "place", "at")
+    return placed.filter(F.col("place") < most) if most is not None else placed
 
 
 def matches_with_ancestors(nodes: DataFrame, matches: Column) -> DataFrame:
@@ -104,14 +160,20 @@ def matches_with_ancestors(nodes: DataFrame, matches: Column) -> DataFrame:
     return nodes.join(up, "path", "left_semi")
 
 
-def timeline(nodes: DataFrame, lanes: int = 8, bins: int = 20) -> DataFrame:
-    """lane (null: the rest), bin and n: streams alive in each bin; the largest lanes - 1 by bytes have their own lane."""
+def timeline(nodes: DataFrame, lanes: int = 64, bins: int = 800) -> DataFrame:
+    """lane (null: the rest), bin and n: streams alive in each bin; the largest lanes - 1 by bytes have their own lane. A
+    stream counts at its first bin and off behind its last one, and a running sum over at most lanes * bins rows does the rest."""
     lanes, bins = max(1, min(lanes, 512)), max(1, min(bins, 2048))
-    lo, hi = nodes.agg(F.min("first_seen"), F.max("last_seen")).first()
+    slim = written(nodes.select("bytes", "first_packet", "depth", "first_seen", "last_seen"), "spans")
+    lo, hi = slim.agg(F.min("first_seen"), F.max("last_seen")).first()
     if lo is None:
         return nodes.select(F.lit(None).cast("long").alias("lane"), F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("n")).limit(0)
     span = max(1, hi - lo)
-    at = lambda c: F.least(F.floor((F.col(c) - lo) * bins / span), F.lit(bins - 1))
-    top = nodes.orderBy(F.desc("bytes"), "first_packet", "depth").limit(lanes - 1).select("path", F.col("first_packet").alias("lane"))
-    own = nodes.join(F.broadcast(top), "path", "left")  # at most 511 rows
-    return own.select("lane", F.explode(F.sequence(at("first_seen"), F.greatest(at("first_seen"), at("last_seen")))).alias("bin")).groupBy("lane", "bin").agg(F.count(F.lit(1)).alias("n"))
+    at = lambda c: F.least(F.floor((F.col(c) - lo) * bins / span), F.lit(bins - 1)).cast("long")
+    top = slim.orderBy(*sort_columns("bytes")).limit(lanes - 1).select(F.col("first_packet").alias("lane"), "depth")
+    own = slim.join(F.broadcast(top), (slim["first_packet"] == top["lane"]) & (slim["depth"] == top["depth"]), "left")  # at most 511 rows
+    ends = own.select("lane", F.explode(F.array(F.struct(at("first_seen").alias("bin"), F.lit(1).alias("d")), F.struct((F.greatest(at("first_seen"), at("last_seen")) + 1).alias("bin"), F.lit(-1).alias("d")))).alias("x"))
+    steps = ends.groupBy("lane", "x.bin").agg(F.sum("x.d").cast("long").alias("d"))
+    w = Window.partitionBy("lane").orderBy("bin")
+    runs = steps.withColumns({"n": F.sum("d").over(w), "next": F.lead("bin").over(w)}).filter("n > 0")
+    return runs.select("lane", F.explode(F.sequence("bin", F.col("next") - 1)).alias("bin"), "n")

@@ -10,9 +10,14 @@ def accumulate(obs: DataFrame, cap: int = 64) -> DataFrame:
     """Distinct values in order of first observation, at most cap; all observations; whether more came. Values are
     counted before they meet, so a hot node brings one row a value and task."""
     seen = obs.filter("value is not null").groupBy("path", "value").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
-    ranked = seen.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("ord")))
+    # Each task first cuts its own part of a node's values to the cap, so no window meets all values of a hot node.
+    part = Window.partitionBy("path", F.pmod(F.xxhash64("value"), F.lit(64))).orderBy("ord")
+    slim = seen.withColumn("first", F.row_number().over(part) <= cap)
+    ranked = slim.filter("first").withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("ord"))).filter(F.col("place") <= cap)
+    sums = seen.groupBy("path").agg(F.sum("n").alias("observations"), (F.count(F.lit(1)) > cap).alias("overflow"))
     kept = F.array_sort(F.collect_list(F.when(F.col("place") <= cap, F.struct("ord", "value"))))
-    return ranked.groupBy("path").agg(F.array_join(F.transform(kept, lambda x: x["value"].cast("string")), ",").alias("kept"), F.sum("n").alias("observations"), (F.count(F.lit(1)) > cap).alias("overflow"))
+    values = ranked.groupBy("path").agg(F.array_join(F.transform(kept, lambda x: x["value"].cast("string")), ",").alias("kept"))
+    return values.join(sums, "path").select("path", "kept", "observations", "overflow")
 
 
 def sample(obs: DataFrame) -> DataFrame:
@@ -29,3 +34,36 @@ def series(obs: DataFrame, cap: int = 1024) -> DataFrame:
     last = given.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("ord")))).filter(F.col("place") <= max(1, cap))
     points = last.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"].cast("string")), ",").alias("points"))
     return points.join(n, "path").select("path", "points", (F.col("n") > max(1, cap)).alias("truncated"))
+
+
+def observations(dissected: DataFrame, protocols: list | None = None, packet_no: str = "packet_no") -> DataFrame:
+    """path, kind, field, cap, ord, ts, dir and value (text) of each field that its protocol rolls up. A field that a layer
+    lacks, or that the depth left out, is no observation."""
+    from ..functions.protocols import standard
+
+    specs = {p.name: p.rollups for p in (standard() if protocols is None else protocols) if p.rollups}
+    kinds = F.create_map(*[c for name, r in specs.items() for c in (F.lit(name), F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(f).alias("field"), F.lit(n).alias("cap")) for k, f, n in r]))])
+    keyed = F.filter("layers", lambda x: x["key"].isNotNull())
+    rows = dissected.select(F.col(packet_no).alias("ord"), "ts", keyed.alias("keyed")).select("ord", "ts", "keyed", F.posexplode("keyed").alias("at", "x"))
+    path = F.array_join(F.transform(F.slice("keyed", 1, F.col("at") + 1), lambda x: F.concat(x["protocol"], F.lit(":"), x["key"])), "/")
+    rows = rows.select(path.alias("path"), "ord", "ts", F.col("x.dir").alias("dir"), F.col("x.fields").alias("fields"), F.explode(kinds[F.col("x.protocol")]).alias("r"))
+    value = F.get(F.filter("fields", lambda f: f["name"] == F.col("r.field")), 0)
+    text = F.coalesce(value["text"], value["num"].cast("string"), F.lower(F.hex(value["raw"])))
+    return rows.select("path", "r.kind", "r.field", "r.cap", "ord", "ts", "dir", text.alias("value")).filter("value is not null")
+
+
+def of_fields(obs: DataFrame, clamp: int | None = None) -> DataFrame:
+    """All rollups of observations: path, field, kind and kept (accumulate: first distinct values; sample: first and last;
+    series: the last points as time, direction and value). clamp outranks the caps of series, at least 1."""
+    node = lambda kind: obs.filter(F.col("kind") == kind).withColumn("node", F.concat_ws("\n", "path", "field"))
+    back = lambda df: df.select(F.substring_index("path", "\n", 1).alias("path"), F.substring_index("path", "\n", -1).alias("field"), "kind", "kept")
+    first = accumulate(node("accumulate").select(F.col("node").alias("path"), "ord", "value")).select("path", F.lit("accumulate").alias("kind"), "kept")
+    ends = sample(node("sample").select(F.col("node").alias("path"), "ord", "value")).select("path", F.lit("sample").alias("kind"), F.concat_ws(",", "first_value", "last_value").alias("kept"))
+    point = F.concat_ws("@", "value", F.concat_ws("/", F.col("ts").cast("string"), F.col("dir").cast("string")))
+    caps = [r.cap for r in obs.filter("kind = 'series'").select("cap").distinct().collect()]  # as many as protocols declare
+    out = back(first).unionByName(back(ends))
+    for cap in caps:
+        most = max(1, min(cap, clamp)) if clamp is not None else cap
+        last = series(node("series").filter(F.col("cap") == cap).select(F.col("node").alias("path"), "ord", point.alias("value")), most)
+        out = out.unionByName(back(last.select("path", F.lit("series").alias("kind"), F.col("points").alias("kept"))))
+    return out

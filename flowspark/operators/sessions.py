@@ -1,36 +1,73 @@
-"""Incarnations of a conversation by idle time, and lifecycle folds."""
+"""Incarnations of a conversation by idle time, why they end, and time that runs backwards."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def idle_sessions(rows: DataFrame, key: list[str], ts: str, order: str, idle: int, closes: Column | None = None, linger: int = 0) -> DataFrame:
-    """rows with session (0, 1, ...): a gap of idle or more starts a new one, equality included, and so does a gap of
-    linger or more after a closing row. session_window would merge at equality."""
-    w = Window.partitionBy(*key).orderBy(order)
-    gap = F.col(ts) - F.lag(ts).over(w)
-    new = gap >= idle
-    if closes is not None:
-        new = new | (F.lag(closes).over(w) & (gap >= linger))
-    return rows.withColumn("new", F.coalesce(new, F.lit(False)).cast("int")).withColumn("session", F.sum("new").over(w)).drop("new")
-
-
-def lifecycle(rows: DataFrame, key: list[str], order: str, event: str, table: dict[tuple[str, str], str], start: str) -> DataFrame:
-    """The last state of each key: a fold of slim (order, event) pairs through a transition table; ('*', event) holds
-    for any state, and an event without an entry keeps the state."""
-    step = F.lit(None).cast("string")
-
-    def move(state: Column, x: Column) -> Column:
-        out = state
-        for (s, e), to in reversed(table.items()):
-            here = x["event"] == e if s == "*" else (state == s) & (x["event"] == e)
-            out = F.when(here, F.lit(to)).otherwise(out)
-        return out
-
-    folded = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), F.col(event).alias("event")))).alias("line"))
-    return folded.select(*key, F.aggregate("line", F.lit(start), move).alias("state"), F.size("line").cast("long").alias("n"))
+    """rows with session (0, 1, ...): a gap of idle or more starts a new one, equality included (session_window would merge
+    there). A session's first closing row sets a deadline linger later, which later rows do not move; the first row at or
+    after it starts a new session. Without closing rows this is a window; with them each key's sorted rows go once through
+    an Arrow stream that holds one batch, whatever the size of the key."""
+    if closes is None:
+        w = Window.partitionBy(*key).orderBy(order)
+        new = F.coalesce(F.col(ts) - F.lag(ts).over(w) >= idle, F.lit(False))
+        return rows.withColumn("new", new.cast("int")).withColumn("session", F.sum("new").over(w)).drop("new")
+    marked = rows.withColumns({"__key": F.to_json(F.struct(*key)), "__closes": F.coalesce(closes, F.lit(False))})
+    sorted_rows = marked.repartition("__key").sortWithinPartitions("__key", order)
+    out = sorted_rows.mapInArrow(_lingering(ts, idle, linger), sorted_rows.withColumn("session", F.lit(0).cast("long")).schema)
+    return out.drop("__key", "__closes")
+
+
+def _lingering(ts: str, idle: int, linger: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at, deadline, session = None, None, None, 0
+        for b in batches:
+            got = []
+            columns = (b.column(b.schema.names.index(c)).to_pylist() for c in ("__key", ts, "__closes"))
+            for k, t, closing in zip(*columns):
+                if k != last:
+                    last, at, deadline, session = k, None, None, 0
+                elif t is not None and (at is not None and t - at >= idle or deadline is not None and t >= deadline):
+                    session, deadline = session + 1, None
+                if t is not None:
+                    at = t
+                    if closing and deadline is None:
+                        deadline = t + linger
+                got.append(session)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.int64())], names=[*b.schema.names, "session"])
+
+    return work
+
+
+def session_ends(sessions: DataFrame, key: list[str], ts: str, idle: int, closes: Column, linger: int) -> DataFrame:
+    """A row for each session: events, first_ts, last_ts and reason, by the clock of the whole table: protocol_close if its
+    linger deadline has passed, else idle_timeout if its idle deadline has, else capture_end."""
+    clock = sessions.agg(F.max(ts).alias("clock"))
+    out = sessions.groupBy(*key, "session").agg(F.count(F.lit(1)).alias("events"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.min(F.when(closes, F.col(ts))).alias("closed_ts"))
+    after = F.lead("first_ts").over(Window.partitionBy(*key).orderBy("session"))
+    out = out.crossJoin(F.broadcast(clock)).withColumn("until", F.coalesce(after, F.col("clock")))  # one row
+    closed, idled = F.col("closed_ts") + linger <= F.col("until"), F.col("last_ts") + idle <= F.col("until")
+    return out.withColumn("reason", F.when(closed, "protocol_close").when(idled, "idle_timeout").otherwise("capture_end")).drop("closed_ts", "clock", "until")
+
+
+def effective_ends(nodes: DataFrame, idle: int) -> DataFrame:
+    """path and ends: when a node may close at the earliest. A node with open children is never closed, so a parent's end is
+    the latest of its own and its descendants'."""
+    parts = F.split("path", "/")
+    ups = nodes.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path"), (F.col("last_seen") + idle).alias("ends"))
+    return ups.groupBy("path").agg(F.max("ends").alias("ends"))
+
+
+def finish(nodes: DataFrame) -> DataFrame:
+    """nodes with closed filled in (capture_end where it is null); sinks take them deepest first, then by creation."""
+    closed = F.col("closed") if "closed" in nodes.columns else F.lit(None).cast("string")
+    return nodes.withColumn("closed", F.coalesce(closed, F.lit("capture_end"))).orderBy(F.desc("depth"), "first_packet")
 
 
 def regressions(rows: DataFrame, ts: str, order: str, block: int = 100_000) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rendering
-from ..operators import dissect, forest, rollups, sessions
+from ..operators import condense, dissect, forest, lifecycle, rollups, sessions, views
 from ..operators.forest import Layer
+from ..sources.tables import numbered, written
 from .where import compile_where
 
 LAYERS = [Layer("nation", ("s_nationkey",), ("c_nationkey",)), Layer("party", ("l_suppkey",), ("o_custkey",)), Layer("flag", shared=("app",))]
@@ -19,14 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as packets between a supplier and a customer, below the pair of their nations. The packet number is a
-    key that is unique and ordered: the columns of a line item as one text of equal widths."""
+    """Line items as packets between a supplier and a customer, below the pair of their nations. packet_no is their place in
+    the order of all columns that tell two line items apart."""
     t = lambda n: table(spark, sf_dir, n)
     rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    wide = lambda c, n: F.lpad(c.cast("long").cast("string"), n, "0")
-    ts = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
-    no = F.concat(wide(F.col("l_orderkey"), 12), wide(F.col("l_linenumber"), 3), wide(F.col("l_partkey"), 12), wide(F.col("l_suppkey"), 12), wide(F.floor(ts / 1000000), 11), wide(F.round(F.col("l_extendedprice") * 100), 14))
-    return rows.select("*", no.alias("packet_no"), F.floor(ts / 1000000).alias("ts"), F.col("l_quantity").cast("long").alias("size"), F.when(F.col("l_returnflag") == "R", F.lit(None)).otherwise(F.lit(7)).alias("app"))
+    ts = F.floor(F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1000000)
+    slim = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_custkey", "c_nationkey", "s_nationkey", "l_returnflag", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), ts.alias("ts"), F.col("l_quantity").cast("long").alias("size"))
+    slim = slim.withColumn("app", F.when(F.col("l_returnflag") == "R", F.lit(None)).otherwise(F.lit(7)))
+    return numbered(slim, "packet_no", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "ts", "cents")
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,19 +38,66 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.streams(hits(spark, sf_dir))
 
 
+_snapshots: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def snapshot(spark: SparkSession, sf_dir: str, dissected: bool = False) -> DataFrame:
+    """The forest's records, written once in a session, as the views read them: of the table's layers or of the frames."""
+    key = (spark.sparkContext.applicationId, sf_dir, str(dissected))
+    if key not in _snapshots:
+        made = dissect.dissect(frames(spark, sf_dir), depth="structural") if dissected else None
+        own = forest.streams(forest.packet_hits(made)) if dissected else nodes(spark, sf_dir)
+        _snapshots[key] = written(views.records(own, None if dissected else LAYERS, second=1), "snapshot")
+    return _snapshots[key]
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as Ethernet frames with IPv4 and TCP or, where returned, UDP: nations as MAC addresses, the supplier and
     the customer as IP addresses, the line and its part as ports, as many payload bytes as the line number says."""
     h = lambda c, n: F.lpad(F.hex(F.col(c).cast("long") if isinstance(c, str) else c.cast("long")), n, "0")
     lit, n = F.lit, F.col("l_linenumber")
     ports = F.concat(h(n + 30000, 4), h(F.col("l_partkey") % 1000 + 31000, 4))
-    tcp = F.concat(ports, lit("000000000000000050180400" + "00000000"))
+    tcp = F.concat(ports, lit("000000000000000050"), h(_flags(n), 2), lit("0400" + "00000000"))
     udp = F.concat(ports, h(n + 8, 4), lit("0000"))
     returned = F.col("l_returnflag") == "R"
     frame = F.concat(h("c_nationkey", 12), h("s_nationkey", 12), lit("0800"), lit("450000000000000040"), F.when(returned, lit("11")).otherwise(lit("06")), lit("0000"), h(F.col("l_suppkey") + 167772160, 8), h(F.col("o_custkey") + 167772160, 8), F.when(returned, udp).otherwise(tcp), F.repeat(lit("FF"), n))
     return traffic(spark, sf_dir).select("packet_no", "ts", F.col("size").cast("int").alias("origlen"), F.lit(1).alias("link_type"), F.unhex(frame).alias("data"))
 
 
+def _flags(line):
+    """TCP flags that a line number stands for."""
+    return F.get(F.array(*[F.lit(x) for x in FLAGS]), (line - 1).cast("int"))
+
+
+def tunnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as frames: by order key below a VLAN tag, GRE with a key, VXLAN, MPLS, or as DNS, Modbus and BFD messages."""
+    h = lambda c, n: F.lpad(F.hex(c.cast("long")), n, "0")
+    lit, part = F.lit, F.col("l_partkey")
+    head = lambda kind: F.concat(lit("020000000001" + "020000000002"), lit(kind))
+    ip = lambda proto: lit("4500000000000000" + "40" + proto + "0000" + "0A000001" + "0A000002")
+    udp = lambda port: lit(f"2710{port:04X}00000000")
+    tcp = lambda port: lit(f"2710{port:04X}" + "00000000" + "00000000" + "50100400" + "00000000")
+    inner = F.concat(ip("06"), lit("0001000200000000000000005010040000000000"))
+    name = F.hex(F.concat(lit("p"), part.cast("string")).cast("binary"))
+    dns = F.concat(lit("1234" + "0100" + "0001" + "000000000000"), h(F.octet_length(F.unhex(name)), 2), name, lit("04" + "74657374" + "00" + "0001" + "0001"))
+    kinds = [
+        F.concat(head("8100"), h(part % 4096, 4), lit("0800"), inner), F.concat(head("0800"), ip("2F"), lit("20000800"), h(part, 8), inner),
+        F.concat(head("0800"), ip("11"), udp(4789), lit("08000000"), h(part, 6), lit("00"), head("0800"), inner), F.concat(head("8847"), h(part % 1000 * 4096 + 256 + 64, 8), h(lit(64), 2)),
+        F.concat(head("0800"), ip("11"), udp(53), dns), F.concat(head("0800"), ip("06"), tcp(502), lit("000100000006"), h(part % 256, 2), lit("03"), h(part % 65536, 4), lit("0002")),
+        F.concat(head("0800"), ip("11"), udp(3784), lit("20C00318"), h(part + 1, 8), h(part + 2, 8), lit("000F4240" * 2 + "00000000")),
+    ]
+    kind = (F.col("l_orderkey") % 7).cast("int")
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.get(F.array(*kinds), kind).alias("frame"))
+    return t.select(F.col("l_orderkey").alias("packet_no"), F.lit(0).cast("long").alias("ts"), F.lit(100).alias("origlen"), F.lit(1).alias("link_type"), F.unhex("frame").alias("data"), "l_linenumber", "l_partkey")
+
+
+def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = dissect.dissect(tunnels(spark, sf_dir))
+    of = lambda p, f: F.get(F.filter(F.get(F.filter("layers", lambda x: x["protocol"] == p), 0)["fields"], lambda x: x["name"] == f), 0)
+    number = F.coalesce(*[of(p, f)["num"] for p, f in (("vlan", "vlan_id"), ("gre", "key"), ("vxlan", "vni"), ("mpls", "label"), ("modbus", "start_address"), ("bfd", "my_discriminator"))])
+    return made.select("packet_no", "l_linenumber", "l_partkey", F.array_join("layers.protocol", " ").alias("chain"), "stop", number.alias("number"), of("dns", "qname")["text"].alias("qname"))
+
+
 def _observations(spark: SparkSession, sf_dir: str, value) -> DataFrame:
     t = traffic(spark, sf_dir)
     return t.select(F.concat_ws("-", F.least("l_suppkey", "o_custkey"), F.greatest("l_suppkey", "o_custkey")).alias("path"), F.col("packet_no").alias("ord"), value.alias("value"))
@@ -58,7 +106,7 @@ def _observations(spark: SparkSession, sf_dir: str, value) -> DataFrame:
 _WIDE = "lpad(l_orderkey::varchar, 12, '0') || lpad(l_linenumber::varchar, 3, '0') || lpad(l_partkey::varchar, 12, '0') || lpad(l_suppkey::varchar, 12, '0') || lpad(epoch(l_shipdate)::bigint::varchar, 11, '0') || lpad(round(l_extendedprice * 100)::bigint::varchar, 14, '0')"
 _SQL = f"""
 with t as (
-    select *, {_WIDE} as packet_no, epoch(l_shipdate)::bigint as ts, l_quantity::bigint as size
+    select *, row_number() over (order by {_WIDE}) - 1 as packet_no, epoch(l_shipdate)::bigint as ts, l_quantity::bigint as size
     from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
 ),
 e as (select *, '01' || lpad(to_hex(s_nationkey::bigint), 16, '0') as na, '01' || lpad(to_hex(c_nationkey::bigint), 16, '0') as nb, '01' || lpad(to_hex(l_suppkey), 16, '0') as pa, '01' || lpad(to_hex(o_custkey), 16, '0') as pb from t),
@@ -76,12 +124,34 @@ n as (
 """
 _OBS = f"with o as (select least(l_suppkey, o_custkey) || '-' || greatest(l_suppkey, o_custkey) as path, {_WIDE} as ord, l_returnflag, l_partkey, epoch(l_shipdate)::bigint as ts from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey)"
 _NODE = ["path", "parent", "depth", "protocol", "key", "packets_ab", "packets_ba", "bytes_ab", "bytes_ba", "opaque_bytes", "first_packet", "first_seen", "last_seen", "initiator"]
-_STATES = {("new", "view"): "browsing", ("new", "click"): "browsing", ("browsing", "click"): "engaged", ("engaged", "purchase"): "converted", ("browsing", "purchase"): "converted", ("*", "error"): "reset"}
-WHERE = ["proto == party and packets > 1", "bytes >= 1k or opaque > 20", "not proto is nation and duration > 100h", "under == nation depth == 1 packets != 1", "root bytes > 0.2k", "leaf", "proto =~ /^fl.g$/ || parent == nation"]
+_STATES = {("*", "error"): "reset", ("new", "view"): "browsing", ("new", "click"): "browsing", ("browsing", "click"): "engaged", ("engaged", "purchase"): "converted", ("browsing", "purchase"): "converted"}
+VISITS = lifecycle.Machine("new", tuple((state, lambda e, x=event: e == x, to) for (state, event), to in _STATES.items()))
+FLAGS = (2, 18, 16, 24, 17, 17, 4)
+WHERE = ["proto == party and packets > 1", "bytes >= 1k or opaque > 20", "not proto is nation and duration > 100h", "under == nation depth == 1 packets != 1", "root bytes > 0.2k", "leaf", "proto =~ /^fl.g$/ || parent == nation", "parent != party", "id < 50 or endpoint == 7", "l_suppkey == 7 or o_custkey < 5", "party #1", "/^flag #\\d*7 /", "live and not closed and leaf", "s_nationkey != 3 root", "duration >= 500h state == \"\"", "under != nation"]
 _WHERE_SQL = [
     "protocol = 'party' and packets > 1", "bytes >= 1000 or opaque_bytes > 20", "not (protocol = 'nation') and last_seen - first_seen > 360000", "depth >= 1 and depth = 1 and packets <> 1", "depth = 0 and bytes > 200",
-    "not exists (select 1 from n c where c.parent = n.path)", "protocol = 'flag' or (parent is not null and depth = 1)",
+    "path not in (select parent from n where parent is not null)", "protocol = 'flag' or (parent is not null and depth = 1)",
+    "depth <> 2", "id < 50 or (depth < 2 and 7 in (lo, hi)) or (depth = 2 and ends = 'app=7' and false)", "protocol = 'party' and (if(initiator = 0, lo, hi) = 7 or if(initiator = 0, hi, lo) < 5)", "contains(protocol || ' #' || id || ' ' || ends, 'party') and contains(protocol || ' #' || id || ' ' || ends, '#1')",
+    "protocol = 'flag' and id % 10 = 7", "path not in (select parent from n where parent is not null)", "depth = 0 and if(initiator = 0, lo, hi) <> 3", "last_seen - first_seen >= 1800000", "depth = 2",
+]
+_VIEW = """, v as (
+    select *, row_number() over (order by first_packet, depth) - 1 as id, ('0x' || substr(key, 3, 16))::bigint as lo, case when depth < 2 then ('0x' || substr(key, 21, 16))::bigint end as hi,
+           case when depth = 2 then '' else if(initiator = 0, ('0x' || substr(key, 3, 16))::bigint, ('0x' || substr(key, 21, 16))::bigint) || ' ↔ ' || if(initiator = 0, ('0x' || substr(key, 21, 16))::bigint, ('0x' || substr(key, 3, 16))::bigint) end as ends
+    from n
+)
+"""
+#: On frames: the fields that packets have.
+PACKET_WHERE = ["port == 30003 and proto == udp", "proto == tcp src_port > 30002", "under == ipv4 endpoint contains :300", "endpoint == 10.0.0.3 or dst_addr =~ /^10\\.0\\.0\\.1.$/"]
+_PACKET_WHERE_SQL = [
+    "protocol = 'udp' and 30003 in (lo, hi)", "protocol = 'tcp' and if(initiator = 0, lo, hi) > 30002", "depth = 2 and (lo between 30000 and 30099 or hi between 30000 and 30099)",
+    "protocol = 'ipv4' and (167772163 in (lo, hi) or if(initiator = 0, hi, lo) between 167772170 and 167772179)",
 ]
+_PACKET_VIEW = """, v as (
+    select *, ('0x' || substr(key, case protocol when 'ipv4' then 7 when 'ethernet' then 7 else 3 end, case protocol when 'ipv4' then 8 when 'ethernet' then 12 else 16 end))::bigint as lo,
+           ('0x' || substr(key, case protocol when 'ipv4' then 21 when 'ethernet' then 25 else 21 end, case protocol when 'ipv4' then 8 when 'ethernet' then 12 else 16 end))::bigint as hi
+    from n
+)
+"""
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,11 +167,29 @@ def _sessions(closing: bool):
     return run
 
 
+HOUR = 3_600_000_000
+
+
+def _session_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closing = F.col("event_type") == "purchase"
+    got = sessions.idle_sessions(_events(spark, sf_dir), ["user_id"], "ts", "event_id", 12 * HOUR, closing, HOUR)
+    return sessions.session_ends(got, ["user_id"], "ts", 12 * HOUR, closing, HOUR)
+
+
 _SESSION_SQL = """
-with e as (select user_id, event_id, epoch_us(ts) as ts, epoch_us(ts) - lag(epoch_us(ts)) over w as gap, lag(event_type) over w = 'purchase' as closed from events window w as (partition by user_id order by event_id)),
-s as (select *, sum(case when gap >= 43200000000 {more} then 1 else 0 end) over (partition by user_id order by event_id) as session from e)
+with e as (select user_id, event_id, epoch_us(ts) as ts, epoch_us(ts) - lag(epoch_us(ts)) over w as gap from events window w as (partition by user_id order by event_id)),
+s as (select *, sum(case when gap >= 43200000000 then 1 else 0 end) over (partition by user_id order by event_id) as session from e)
 select user_id, session::bigint as session, count(*) as events, min(ts) as first_ts, max(ts) as last_ts from s group by all
 """
+_LINGER_SQL = """
+with recursive e as (select user_id, epoch_us(ts) as ts, event_type = 'purchase' as closing, row_number() over (partition by user_id order by event_id) as rn from events),
+s as (
+    select user_id, rn, ts, closing, 0::bigint as session, case when closing then ts + 3600000000 end as deadline from e where rn = 1
+    union all
+    select e.user_id, e.rn, e.ts, e.closing, s.session + x.split::bigint, case when x.split or s.deadline is null then case when e.closing then e.ts + 3600000000 end else s.deadline end
+    from s join e on e.user_id = s.user_id and e.rn = s.rn + 1, lateral (select e.ts - s.ts >= 43200000000 or coalesce(e.ts >= s.deadline, false) as split) x
+)
+"""
 
 
 def _fmt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,32 +207,51 @@ def _unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "forest_nation_party": lambda s, d: nodes(s, d).select(*_NODE),
     "merged_party": lambda s, d: forest.merged(nodes(s, d)),
-    "children_counts": lambda s, d: forest.with_children(nodes(s, d)).select("path", "n_children"),
-    "summary_by_protocol": lambda s, d: forest.summary(nodes(s, d)),
+    "children_counts": lambda s, d: snapshot(s, d).select("path", "n_children"),
+    "summary_by_protocol": lambda s, d: forest.summary(snapshot(s, d)),
     "created_seq": lambda s, d: forest.created_seq(nodes(s, d)).select("path", "created_seq"),
-    "sibling_rank": lambda s, d: forest.sibling_rank(nodes(s, d)).select("path", "rank"),
-    "top_streams_page": lambda s, d: nodes(s, d).orderBy(F.desc("bytes"), "first_packet", "depth").offset(10).limit(50).select("path", "bytes"),
-    "matches_with_ancestors": lambda s, d: forest.matches_with_ancestors(nodes(s, d), F.expr("protocol = 'flag' and packets > 3")).select("path", "packets"),
+    "sibling_rank": lambda s, d: forest.sibling_rank(snapshot(s, d)).select("path", "rank"),
+    "top_streams_page": lambda s, d: snapshot(s, d).orderBy(F.desc("bytes"), "first_packet", "depth").offset(10).limit(50).select("path", "bytes"),
+    "matches_with_ancestors": lambda s, d: forest.matches_with_ancestors(snapshot(s, d), F.expr("protocol = 'flag' and packets > 3")).select("path", "packets"),
     "rollup_accumulate": lambda s, d: rollups.accumulate(_observations(s, d, F.col("l_returnflag")), 2),
     "rollup_sample": lambda s, d: rollups.sample(_observations(s, d, F.col("l_partkey"))),
     "rollup_series": lambda s, d: rollups.series(_observations(s, d, F.col("l_partkey")), 3),
-    "timeline_density": lambda s, d: forest.timeline(nodes(s, d).filter("depth = 0")).select(F.col("lane"), "bin", "n"),
+    "timeline_density": lambda s, d: forest.timeline(snapshot(s, d).filter("depth = 0"), 8, 20).select(F.col("lane"), "bin", "n"),
+    "tree_preorder": lambda s, d: forest.tree(snapshot(s, d)).select("path", "place", "last"),
+    "layer_list": lambda s, d: forest.layer_list(snapshot(s, d), "party").select("path", "id", "endpoints"),
+    "ancestors": lambda s, d: snapshot(s, d).select("path", F.array_join("ancestors.protocol", ",").alias("above")),
+    "merged_nodes": lambda s, d: forest.merged(snapshot(s, d)).select("protocol", "key", F.array_join("nodes", ",").alias("nodes")),
+    "totals": lambda s, d: forest.totals(snapshot(s, d), traffic(s, d), "size"),
+    "effective_ends": lambda s, d: sessions.effective_ends(snapshot(s, d), 300),
+    "lineage": lambda s, d: views.lineage(snapshot(s, d)),
+    "sibling_rank_duration": lambda s, d: forest.sibling_rank(snapshot(s, d), "duration").select("path", "rank"),
+    "user_session_ends": _session_ends,
+    "tcp_lifecycle": lambda s, d: lifecycle.stream_states(dissect.dissect(frames(s, d), depth="structural")).select("path", "state", "closed"),
+    "unknown_registry": lambda s, d: dissect.unknown_registry(dissect.dissect(frames(s, d), depth="none", diagnose=True)).select("predecessor", "route", "n", "bytes_total", "first_seen", "last_seen", F.array_join(F.transform("samples", F.hex), ",").alias("samples"), F.size("endpoints").cast("long").alias("endpoints"), "overflow"),
+    "dissect_roundtrip": _round_trip,
+    "packet_rollups": lambda s, d: rollups.of_fields(rollups.observations(dissect.dissect(frames(s, d), depth="structural")), 2).filter("kind = 'accumulate' and field in ('protocol', 'ethertype')"),
+    "condensed_fanout": lambda s, d: condense.condense(traffic(s, d).select(F.concat_ws("-", F.least("s_nationkey", "c_nationkey"), F.greatest("s_nationkey", "c_nationkey")).alias("parent"), F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"), F.concat(F.lit("s"), "l_suppkey").alias("src"), "packet_no", "size"), 16),
+    "condensed_off": lambda s, d: condense.condense(traffic(s, d).select(F.lit("all").alias("parent"), F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"), F.concat(F.lit("s"), "l_suppkey").alias("src"), "packet_no", "size"), 0).select("a", "b", "packets_ab", "packets_ba", "bytes_ab", "bytes_ba"),
+    "fmt_text": lambda s, d: table(s, d, "part").select("p_partkey", rendering.si_bytes(F.col("p_partkey") * 7920 + 1).alias("si"), rendering.thousands(F.col("p_partkey") * 7920 + 1).alias("grouped"), rendering.rfc3339(F.col("p_partkey") * 1_000_250_000).alias("at"), rendering.hex_dump(F.encode(F.concat(F.lit("part number "), F.col("p_partkey").cast("string")), "utf-8")).alias("dump")),
+    "route_names": lambda s, d: table(s, d, "part").select("p_partkey", rendering.route_name(F.concat(F.lit("udp_port:"), (F.col("p_partkey") % 1000).cast("string"))).alias("route")),
     "user_sessions_idle": _sessions(False),
     "user_sessions_linger": _sessions(True),
-    "event_lifecycle": lambda s, d: sessions.lifecycle(_events(s, d), ["user_id"], "event_id", "event_type", _STATES, "new"),
+    "event_lifecycle": lambda s, d: lifecycle.fold(_events(s, d), ["user_id"], "event_id", F.col("event_type"), VISITS, 1000).select("user_id", "state", "n"),
     "regressed_timestamps": lambda s, d: sessions.regressions(table(s, d, "events").select("event_id", F.col("value").alias("ts")), "ts", "event_id", 1000),
     "unknown_groups": _unknown,
-    "dissected_forest": lambda s, d: forest.streams(forest.packet_hits(dissect.dissect(frames(s, d)))).select(*_NODE),
-    "dissected_stops": lambda s, d: dissect.stop_summary(dissect.dissect(frames(s, d))),
-    "dissected_unclaimed": lambda s, d: dissect.unclaimed(dissect.dissect(frames(s, d))),
+    "dissected_forest": lambda s, d: forest.streams(forest.packet_hits(dissect.dissect(frames(s, d), depth="none"))).select(*_NODE),
+    "dissected_stops": lambda s, d: dissect.stop_summary(dissect.dissect(frames(s, d), depth="none")),
+    "dissected_unclaimed": lambda s, d: dissect.unclaimed(dissect.dissect(frames(s, d), depth="none")),
     "fmt_values": _fmt,
 }
 for _i, _w in enumerate(WHERE):
-    QUERIES[f"where_{_i}"] = lambda s, d, w=_w: compile_where(w).filter(forest.with_children(nodes(s, d))).select("path", "packets", "bytes")
+    QUERIES[f"where_{_i}"] = lambda s, d, w=_w: compile_where(w).filter(snapshot(s, d)).select("path", "packets", "bytes")
+for _i, _w in enumerate(PACKET_WHERE):
+    QUERIES[f"where_packets_{_i}"] = lambda s, d, w=_w: compile_where(w).filter(snapshot(s, d, True)).select("path", "packets", "bytes")
 
 _FRAME_SQL = f"""
 with t as (
-    select *, {_WIDE} as packet_no, epoch(l_shipdate)::bigint as ts, l_quantity::bigint as size, case when l_returnflag = 'R' then 'udp' else 'tcp' end as proto,
+    select *, row_number() over (order by {_WIDE}) - 1 as packet_no, epoch(l_shipdate)::bigint as ts, l_quantity::bigint as size, case when l_returnflag = 'R' then 'udp' else 'tcp' end as proto,
            '000006' || lpad(to_hex(s_nationkey::bigint), 12, '0') as ma, '000006' || lpad(to_hex(c_nationkey::bigint), 12, '0') as mb, '000004' || lpad(to_hex(l_suppkey + 167772160), 8, '0') as ia, '000004' || lpad(to_hex(o_custkey + 167772160), 8, '0') as ib,
            '01' || lpad(to_hex(30000 + l_linenumber::bigint), 16, '0') as ta, '01' || lpad(to_hex(31000 + l_partkey % 1000), 16, '0') as tb
     from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
@@ -165,7 +272,7 @@ SQL = {
     "forest_nation_party": _SQL + "select " + ", ".join(_NODE) + " from n",
     "merged_party": _SQL + "select protocol, key, sum(packets_ab)::bigint as packets_ab, sum(packets_ba)::bigint as packets_ba, sum(bytes_ab)::bigint as bytes_ab, sum(bytes_ba)::bigint as bytes_ba, min(first_seen) as first_seen, max(last_seen) as last_seen, count(*) as n_nodes from n group by all",
     "children_counts": _SQL + "select path, (select count(*) from n c where c.parent = n.path) as n_children from n",
-    "summary_by_protocol": _SQL + "select protocol, count(*) as ever, sum(packets)::bigint as packets, sum(bytes)::bigint as bytes from n group by 1",
+    "summary_by_protocol": _SQL + "select protocol, count(*) as ever, count(*) as live, sum(packets)::bigint as packets, sum(bytes)::bigint as bytes from n group by 1",
     "created_seq": _SQL + "select path, row_number() over (order by first_packet, depth) - 1 as created_seq from n",
     "sibling_rank": _SQL + "select path, row_number() over (partition by parent order by bytes desc, first_packet, depth)::int as rank from n",
     "top_streams_page": _SQL + "select path, bytes from n order by bytes desc, first_packet, depth limit 50 offset 10",
@@ -174,11 +281,30 @@ SQL = {
     "rollup_sample": _OBS + " select path, arg_min(l_partkey, ord) as first_value, arg_max(l_partkey, ord) as last_value from o group by path",
     "rollup_series": _OBS + ", r as (select *, row_number() over (partition by path order by ord desc) as place, count(*) over (partition by path) as n from o) select path, string_agg(l_partkey::varchar, ',' order by ord) as points, max(n) > 3 as truncated from r where place <= 3 group by path",
     "timeline_density": _SQL + ", w as (select *, min(first_seen) over () as lo, max(last_seen) over () as hi, row_number() over (order by bytes desc, first_packet, depth) as place from n where depth = 0), b as (select case when place <= 7 then first_packet end as lane, least(floor((first_seen - lo) * 20 / greatest(1, hi - lo)), 19)::bigint as a, least(floor((last_seen - lo) * 20 / greatest(1, hi - lo)), 19)::bigint as z from w), g as (select lane, unnest(generate_series(a, greatest(a, z))) as bin from b) select lane, bin, count(*) as n from g group by all",
-    "user_sessions_idle": _SESSION_SQL.format(more=""),
-    "user_sessions_linger": _SESSION_SQL.format(more="or (closed and gap >= 3600000000)"),
+    "user_sessions_idle": _SESSION_SQL,
+    "user_sessions_linger": _LINGER_SQL + "select user_id, session, count(*) as events, min(ts) as first_ts, max(ts) as last_ts from s group by all",
+    "user_session_ends": _LINGER_SQL + ", g as (select user_id, session, count(*) as events, min(ts) as first_ts, max(ts) as last_ts, min(case when closing then ts end) as closed from s group by all), u as (select *, coalesce(lead(first_ts) over (partition by user_id order by session), max(last_ts) over ()) as until from g) select user_id, session, events, first_ts, last_ts, case when closed + 3600000000 <= until then 'protocol_close' when last_ts + 43200000000 <= until then 'idle_timeout' else 'capture_end' end as reason from u",
+    "event_lifecycle": "select user_id, list_reduce(list_prepend('new', list(event_type order by event_id)), lambda s, e: case when e = 'error' then 'reset' when s = 'new' and e in ('view', 'click') then 'browsing' when s = 'browsing' and e = 'click' then 'engaged' when s in ('engaged', 'browsing') and e = 'purchase' then 'converted' else s end) as state, count(*) as n from events group by user_id",
+    "tree_preorder": _SQL.replace("with t as", "with recursive t as", 1) + ", r as (select path, parent, row_number() over w as rank, row_number() over w = count(*) over (partition by parent) as last from n window w as (partition by parent order by bytes desc, first_packet, depth)), p as (select path, last, [rank] as pos from r where parent is null union all select r.path, r.last, list_append(p.pos, r.rank) from r join p on r.parent = p.path) select path, row_number() over (order by pos) - 1 as place, last from p",
+    "layer_list": _SQL + _VIEW + "select path, id, ends as endpoints from v where protocol = 'party'",
+    "ancestors": _SQL + "select path, case depth when 0 then '' when 1 then 'nation' else 'nation,party' end as above from n",
+    "merged_nodes": _SQL + _VIEW + "select protocol, key, string_agg(id::varchar, ',' order by id) as nodes from v group by all",
+    "totals": _SQL + "select (select count(*) from t) as packets, (select sum(size)::bigint from t) as bytes, (select count(*) from n) as streams_created",
+    "effective_ends": _SQL + "select a.path, (max(b.last_seen) + 300)::bigint as ends from n a join (select path as own, unnest([path, parent, case when depth = 2 then split_part(path, '/', 1) end]) as path, last_seen from n) b on a.path = b.path group by a.path",
+    "lineage": _SQL + _VIEW + ", x as (select *, protocol || ' #' || id || case when ends <> '' then ' (' || ends || ')' else '' end as name from v) select a.path, string_agg(b.name, ' ▸ ' order by b.depth) as lineage from (select path, unnest(list_distinct([path, parent, split_part(path, '/', 1)])) as up from x) a join x b on a.up = b.path group by a.path",
+    "sibling_rank_duration": _SQL + "select path, row_number() over (partition by parent order by greatest(last_seen - first_seen, 0) desc, first_packet, depth)::int as rank from n",
+    "tcp_lifecycle": _FRAME_SQL + "f as (select p0 || '/' || p1 || '/' || p2 as path, list([2, 18, 16, 24, 17, 17, 4][l_linenumber]::varchar order by packet_no) as line from k where proto = 'tcp' group by all), g as (select path, list_reduce(list_prepend('new', line), lambda s, e: case when e = '4' then 'reset' when s = 'new' and e = '2' then 'syn_sent' when s = 'new' and e <> '18' then 'established_midstream' when s = 'syn_sent' and e = '18' then 'syn_received' when s = 'syn_received' and e in ('16', '24') then 'established' when s in ('established', 'established_midstream') and e = '17' then 'closing' when s = 'closing' and e = '17' then 'closed' else s end) as state from f) select path, state, state in ('closed', 'reset') as closed from g",
+    "unknown_registry": _FRAME_SQL + "u as (select proto as predecessor, proto || '_port:' || (31000 + l_partkey % 1000) as route, l_linenumber::bigint as size, ts, packet_no, proto || ':' || split_part(p2, ':', 2) as ep from k), q as (select *, row_number() over (partition by route order by packet_no desc) as place from u) select predecessor, route, count(*) as n, sum(size)::bigint as bytes_total, min(ts) as first_seen, max(ts) as last_seen, string_agg(repeat('FF', size), ',' order by packet_no) filter (place <= 5) as samples, least(count(distinct ep), 64) as endpoints, count(distinct ep) > 64 as overflow from q group by predecessor, route",
+    "dissect_roundtrip": "with l as (select l_orderkey as packet_no, l_linenumber, l_partkey, l_orderkey % 7 as kind from lineitem) select packet_no, l_linenumber, l_partkey, (['ethernet vlan ipv4 tcp', 'ethernet ipv4 gre ipv4 tcp', 'ethernet ipv4 udp vxlan ethernet ipv4 tcp', 'ethernet mpls', 'ethernet ipv4 udp dns', 'ethernet ipv4 tcp modbus', 'ethernet ipv4 udp bfd'])[kind + 1] as chain, case when kind <> 3 then 'complete' when l_partkey % 1000 in (0, 2) then 'truncated' else 'unknown_hint' end as stop, (case kind when 0 then l_partkey % 4096 when 1 then l_partkey when 2 then l_partkey when 3 then l_partkey % 1000 when 5 then l_partkey % 65536 when 6 then l_partkey + 1 end)::bigint as number, case kind when 4 then 'p' || l_partkey || '.test' end as qname from l",
+    "packet_rollups": _FRAME_SQL + "o as (select p0 || '/' || p1 as path, 'protocol' as field, case proto when 'tcp' then '6' else '17' end as value, min(packet_no) as first from k group by all), a as (select path, field, 'accumulate' as kind, string_agg(value, ',' order by first) as kept from o group by all) select * from a union all select distinct p0, 'ethertype', 'accumulate', '2048' from k",
+    "condensed_off": "with t as (select 's' || l_suppkey as s, 'c' || o_custkey as c, l_quantity::bigint as size from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey) select c as a, s as b, 0::bigint as packets_ab, count(*) as packets_ba, 0::bigint as bytes_ab, sum(size)::bigint as bytes_ba from t group by all",
+    "fmt_text": "with q as (select p_partkey, p_partkey * 7920 + 1 as n, p_partkey * 1000250000 as us, 'part number ' || p_partkey as words from part) select p_partkey, case when n >= 1e9 then printf('%.1f GB', n / 1e9) when n >= 1e6 then printf('%.1f MB', n / 1e6) when n >= 1000 then printf('%.1f kB', n / 1e3) else n || ' B' end as si, format('{:,}', n) as grouped, strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S') || case when us % 1000000 > 0 then '.' || rtrim(lpad((us % 1000000)::varchar, 6, '0'), '0') else '' end || 'Z' as at, '0000  ' || rtrim(regexp_replace(lower(hex(encode(words[1:16]))), '(..)', '\\1 ', 'g')) || case when length(words) > 16 then chr(10) || '0010  ' || rtrim(regexp_replace(lower(hex(encode(words[17:32]))), '(..)', '\\1 ', 'g')) else '' end as dump from q",
+    "route_names": "with names as (select * from (values (53, 'DNS'), (67, 'DHCP'), (68, 'DHCP'), (123, 'NTP'), (137, 'NETBIOS_NS'), (161, 'SNMP'), (162, 'SNMP'), (319, 'PTP'), (320, 'PTP'), (514, 'Syslog'), (546, 'DHCPv6'), (547, 'DHCPv6')) x(port, name)) select p_partkey, coalesce(name || ' (' || port || ')', (p_partkey % 1000)::varchar) as route from part left join names on port = p_partkey % 1000",
     "regressed_timestamps": "with r as (select value, max(value) over (order by event_id rows between unbounded preceding and 1 preceding) as top from events) select count(*) as n, sum((value < top)::int)::bigint as regressed from r",
     "unknown_groups": "select split_part(url, '://', 1) as predecessor, regexp_extract(url, '\\.([a-z]+)/', 1) as route, count(*) as n, sum(strlen(html))::bigint as bytes_total, min(strlen(html)) as bytes_min, max(strlen(html)) as bytes_max, min(page_id) as first_seen, max(page_id) as last_seen from pages group by all",
     "fmt_values": f"with q as (select *, p_partkey * 2654435761 % 4294967296 as x from part), y as (select *, lower(lpad(to_hex((x * 4099) & 281474976710655), 12, '0')) as m from q) select p_partkey, (x >> 24) || '.' || ((x >> 16) & 255) || '.' || ((x >> 8) & 255) || '.' || (x & 255) as ip, m[1:2] || ':' || m[3:4] || ':' || m[5:6] || ':' || m[7:8] || ':' || m[9:10] || ':' || m[11:12] as mac, coalesce(nullif(ltrim({_FLAGS_SQL}, '+'), ''), 'none') as flags, lpad((p_partkey * 37 // 3600)::varchar, greatest(2, length((p_partkey * 37 // 3600)::varchar))::int, '0') || ':' || lpad((p_partkey * 37 % 3600 // 60)::varchar, 2, '0') || ':' || lpad((p_partkey * 37 % 60)::varchar, 2, '0') as duration from y",
 }
 for _i, _w in enumerate(_WHERE_SQL):
-    SQL[f"where_{_i}"] = _SQL + f"select path, packets, bytes from n where {_w}"
+    SQL[f"where_{_i}"] = _SQL + _VIEW + f"select path, packets, bytes from v n where {_w}"
+for _i, _w in enumerate(_PACKET_WHERE_SQL):
+    SQL[f"where_packets_{_i}"] = _DISSECTED_SQL + _PACKET_VIEW + f"select path, packets, bytes from v where {_w}"

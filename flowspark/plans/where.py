@@ -1,7 +1,8 @@
 """The filter language over streams, compiled to a column. `or` binds weakest, then `and` (which may be left out), `not`.
 
-Terms: field op value, a flag (root, leaf), a /regex/, or free text. Every comparison holds if any candidate value does, so
-a field without candidates holds for no operator, != included. Numbers take k, M, G, T (powers of 1000) and, for
+Terms: field op value, a flag (closed, live, open, root, leaf, condensed), a /regex/, or free text; they read the columns of
+operators.views.records. A name that is no field is a key field, then a rollup, of the stream. Every comparison holds if any
+candidate value does, so a field without candidates holds for no operator, != included. Numbers take k, M, G, T (powers of 1000) and, for
 duration, ms, s, m, h. Errors carry the position.
 """
 
@@ -16,7 +17,11 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"\s*(?:(?P<punct>\(|\)|==|!=|=~|!~|>=|<=|>|<|=|&&|\|\||!)|/(?P<regex>(?:\\.|[^/\\])+)/|\"(?P<quoted>[^\"]*)\"|(?P<word>[^\s()=!<>&|\"]+))")
 _SCALE = {"k": 1e3, "m": 1e6, "g": 1e9, "t": 1e12, "kb": 1e3, "mb": 1e6, "gb": 1e9, "tb": 1e12}
 _TIME = {"ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
-_NUMBERS = {"packets": "packets", "bytes": "bytes", "opaque": "opaque_bytes", "depth": "depth", "children": "n_children"}
+_NUMBERS = {"id": "id", "packets": "packets", "pkts": "packets", "bytes": "bytes", "opaque": "opaque_bytes", "depth": "depth", "children": "n_children"}
+_DURATION = ("duration", "dur")
+_TEXTS = {"proto": "proto", "protocol": "proto", "state": "state", "reason": "reason", "close_reason": "reason", "endpoint": "endpoint", "ep": "endpoint", "host": "endpoint", "addr": "endpoint", "port": "port", "parent": "parent", "under": "under", "ancestor": "under", "in": "under"}
+_FLAGS = {"closed": lambda: F.col("closed").isNotNull(), "live": lambda: F.col("closed").isNull(), "open": lambda: F.col("closed").isNull(), "root": lambda: F.col("depth") == 0, "leaf": lambda: F.col("n_children") == 0, "condensed": lambda: F.contains(F.col("path"), F.lit(":FE"))}
+PATTERN = 1 << 20  # fixed value: the longest regular expression
 _OPS = {"==", "=", "is", "!=", "=~", "!~", ">", ">=", "<", "<=", "contains", "has"}
 
 
@@ -46,16 +51,33 @@ def _tokens(text: str) -> list[tuple[str, str, int]]:
     return out
 
 
-def _texts(name: str) -> Column:
-    """Candidate values of a text field."""
-    path = F.split("path", "/")
-    protos = F.transform(path, lambda x: F.split_part(x, F.lit(":"), F.lit(1)))
-    n = F.size(protos)
-    if name == "under":
-        return F.slice(protos, 1, F.greatest(n - 1, F.lit(0)))
-    if name == "parent":
-        return F.when(n > 1, F.slice(protos, n - 1, 1)).otherwise(F.array().cast("array<string>"))
-    return F.array(F.col("protocol"))
+def _shown() -> Column:
+    """What free text searches: protocol, number, endpoints and state of a stream."""
+    return F.concat_ws(" ", "protocol", F.concat(F.lit("#"), F.col("id")), "endpoints", "state")
+
+
+def _candidates(name: str) -> Column:
+    """Candidate values of a field: an array of text and number."""
+    text = lambda c: F.struct(c.cast("string").alias("text"), F.lit(None).cast("double").alias("num"))
+    number = lambda c: F.struct(c.cast("string").alias("text"), c.cast("double").alias("num"))
+    plain = lambda fields: F.transform(fields, lambda f: F.struct(f["text"].alias("text"), f["num"].alias("num")))
+    known = _TEXTS.get(name)
+    if name in _NUMBERS:
+        return F.array(number(F.col(_NUMBERS[name])))
+    if name in _DURATION:
+        return F.array(number(F.greatest(F.col("last_seen") - F.col("first_seen"), F.lit(0)) / F.col("second")))
+    if known in ("proto", "state", "reason"):
+        return F.array(text(F.coalesce(F.col({"proto": "protocol", "state": "state", "reason": "closed"}[known]), F.lit(""))))
+    if known == "endpoint":
+        return F.transform(F.split("endpoints", " ↔ | "), text)
+    if known == "port":
+        return F.transform("ports", lambda p: F.struct(p.cast("long").cast("string").alias("text"), p.alias("num")))
+    if known == "parent":
+        return F.array(text(F.coalesce(F.try_element_at("ancestors.protocol", F.lit(-1)), F.lit(""))))
+    if known == "under":
+        return F.transform("ancestors", lambda a: text(a["protocol"]))
+    own = lambda c: plain(F.filter(c, lambda f: f["name"] == name))
+    return F.concat(own("key_fields"), own("rollups"))
 
 
 def _number(text: str, time: bool) -> float | None:
@@ -67,6 +89,8 @@ def _number(text: str, time: bool) -> float | None:
 
 
 def _regex(body: str, at: int) -> str:
+    if len(body) > PATTERN:
+        raise QueryError("the regular expression is too long", at)
     if re.search(r"\(\?(?:[=!]|<[=!])|\\[1-9]", body):
         raise QueryError("look-around and back-references are not supported", at)
     try:
@@ -121,51 +145,41 @@ class _Parser:
             if self.take()[1] != ")":
                 raise QueryError("missing )", self.all[min(self.i, len(self.all)) - 1][2])
             return out
-        shown = F.lower(F.col("path"))
         if kind == "regex":
-            return shown.rlike(_regex(value, at))
+            return _shown().rlike(_regex(value, at))
         if kind == "end" or kind == "punct":
             raise QueryError("a term is missing", at)
-        if kind == "quoted":
-            return F.contains(shown, F.lit(value.lower()))
-        if self.peek()[0] in ("word", "punct") and self.peek()[1].lower() in _OPS:
+        if kind == "word" and self.peek()[0] in ("word", "punct") and self.peek()[1].lower() in _OPS:
             return self.compare(value.lower(), at)
-        if value.lower() == "root":
-            return F.col("depth") == 0
-        if value.lower() == "leaf":
-            return F.col("n_children") == 0
-        return F.contains(shown, F.lit(value.lower()))
+        if kind == "word" and value.lower() in _FLAGS:
+            return _FLAGS[value.lower()]()
+        return F.contains(F.lower(_shown()), F.lit(value.lower()))
 
     def compare(self, name: str, at: int) -> Column:
+        """True if any candidate value compares so; a field without candidates holds for no operator, != included."""
         op = self.take()[1].lower()
         kind, value, where = self.take()
         if kind in ("end", "punct"):
             raise QueryError("a value is missing", where)
-        if name in _NUMBERS or name == "duration":
-            left = F.greatest(F.col("last_seen") - F.col("first_seen"), F.lit(0)) if name == "duration" else F.col(_NUMBERS[name])
-            number = _number(value, name == "duration")
-            if op in (">", ">=", "<", "<="):
-                if number is None:
-                    raise QueryError("a number is needed", where)
-                left = left.cast("double")
-                return {">": left > number, ">=": left >= number, "<": left < number, "<=": left <= number}[op]
-            if number is not None and op in ("==", "=", "is", "!="):
-                return left.cast("double") != number if op == "!=" else left.cast("double") == number
-            return self.text(F.array(left.cast("string")), op, value, where)
-        if name in ("proto", "protocol", "under", "parent"):
-            return self.text(_texts(name), op, value, where)
-        raise QueryError(f"unknown field {name}", at)
-
-    def text(self, candidates: Column, op: str, value: str, at: int) -> Column:
-        low = value.lower()
+        if kind == "regex":
+            op = "!~" if op in ("!=", "!~") else "=~"
+        candidates = _candidates(name)
         if op in ("=~", "!~"):
-            pattern = _regex(value, at)
-            return F.exists(candidates, lambda c: c.rlike(pattern) if op == "=~" else ~c.rlike(pattern))
+            pattern = _regex(value, where)
+            return F.exists(candidates, lambda c: c["text"].rlike(pattern) if op == "=~" else ~c["text"].rlike(pattern))
         if op in ("contains", "has"):
-            return F.exists(candidates, lambda c: F.contains(F.lower(c), F.lit(low)))
+            return F.exists(candidates, lambda c: F.contains(F.lower(c["text"]), F.lit(value.lower())))
+        number = _number(value, name in _DURATION)
         if op in (">", ">=", "<", "<="):
-            raise QueryError("this field has no order", at)
-        return F.exists(candidates, lambda c: F.lower(c) != low if op == "!=" else F.lower(c) == low)
+            if _number(value, False) is None and _number(value, True) is None:
+                raise QueryError("a number is needed", where)
+            if number is None:
+                return F.lit(False)
+            test = {">": lambda c: c > number, ">=": lambda c: c >= number, "<": lambda c: c < number, "<=": lambda c: c <= number}[op]
+            return F.exists(candidates, lambda c: F.coalesce(test(c["num"]), F.lit(False)))
+        same = lambda c: F.lower(c["text"]) == value.lower()
+        equal = same if number is None else lambda c: F.when(c["num"].isNotNull(), c["num"] == number).otherwise(same(c))
+        return F.exists(candidates, lambda c: ~equal(c) if op == "!=" else equal(c))
 
 
 def compile_where(text: str) -> Where:
