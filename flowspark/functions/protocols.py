@@ -238,7 +238,7 @@ PROTOCOLS = [
     Protocol("tcp", ("ip_protocol:6",), 20, {"src_port": (0, 16), "dst_port": (16, 16), "seq": (32, 32), "ack": (64, 32), "data_offset": (96, 4), "flags": (103, 9), "window": (112, 16), "checksum": (128, 16), "urgent": (144, 16)},
              {}, lambda v: v["data_offset"] >= 5, lambda v, b: 4 * v["data_offset"], _tcp_options, after=_ports("tcp_port"), pair=("src_port", "dst_port"), full=("checksum", "urgent", "options"),
              rollups=(("accumulate", "flags", 64), ("series", "flags", 1024)), lifecycle="tcp", condense=True, expected=("ipv4", "ipv6"),
-             probe=lambda b: 60 if len(b) >= 20 and 20 <= 4 * (b[12] >> 4) <= len(b) and 0 < b[13] < 64 and b[13] & 7 in (0, 1, 2, 4) else 0),
+             probe=lambda b: 60 if len(b) >= 20 and 20 <= 4 * (b[12] >> 4) <= len(b) and not b[12] & 14 and 0 < b[13] < 64 and b[13] & 7 in (0, 1, 2, 4) and (b[13] & 32 or b[18:20] == b"\0\0") else 0),
     Protocol("udp", ("ip_protocol:17",), 8, {"src_port": (0, 16), "dst_port": (16, 16), "length": (32, 16), "checksum": (48, 16)}, after=_ports("udp_port"), pair=("src_port", "dst_port"), full=("checksum",), rollups=(("sample", "length", 0),), condense=True),
     Protocol("gre", ("ip_protocol:47",), 4, {"c": (0, 1), "k": (2, 1), "s": (3, 1), "flags": (0, 4), "version": (13, 3), "protocol": (16, 16)}, {}, lambda v: v["version"] == 0,
              lambda v, b: 4 + 4 * (v["c"] + v["k"] + v["s"]), _gre_extra, lambda v: [ethertype(v["protocol"])], ("key",), full=("checksum", "sequence")),

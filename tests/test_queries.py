@@ -23,11 +23,10 @@ def db():
 def test_matches_sql(spark, db, name):
     got = queries.QUERIES[name](spark, SF)
     rel = db.execute(queries.SQL[name])
-    columns = sorted(d[0] for d in rel.description)
-    want = rel.fetchdf()[columns]
-    have = got.toPandas()[columns]
-    rows = lambda df: sorted(map(str, df.astype(object).where(df.notna(), None).values.tolist()))
-    assert sorted(got.columns) == columns and len(have) == len(want) > 0 and rows(have) == rows(want)
+    columns = [d[0] for d in rel.description]
+    want = sorted(map(str, rel.fetchall()))
+    have = sorted(str(tuple(r)) for r in got.select(*columns).collect())
+    assert sorted(got.columns) == sorted(columns) and have == want and want
 
 
 def test_lifecycle(spark):
@@ -39,7 +38,7 @@ def test_lifecycle(spark):
     assert {r.user_id: r.state for r in queries.QUERIES["event_lifecycle"](spark, SF).collect()} == want
 
 
-@pytest.mark.parametrize("text, at", [("proto ==", 8), ("(a", 1), ("packets > x", 10), ("nope == 1", 0), ("a)", 1), ("/(?=a)/", 1)])
+@pytest.mark.parametrize("text, at", [("proto ==", 8), ("(a", 1), ("packets > x", 10), ("packets >", 9), ("a)", 1), ("/(?=a)/", 1)])
 def test_errors_carry_positions(spark, text, at):
     with pytest.raises(QueryError) as e:
         compile_where(text)
