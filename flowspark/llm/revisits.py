@@ -1,7 +1,7 @@
 """WARC: not-modified revisits resolved to the full response that they stand for.
 
-Captures of one canonical URL are ordered by time, then full responses before revisits, then record id. A revisit takes
-the latest earlier full response (an as-of join) and is resolved if the validators agree: entity tags if both have
+A revisit takes the latest full response of its canonical URL that is strictly earlier (an as-of join; of several at that
+time, the one of the largest record id) and is resolved if the validators agree: entity tags if both have
 one, else modification dates if both have one, else payload digests. A resolved revisit gets the stored response's
 headers, with those that a not-modified answer may update taken from the revisit; body and its description stay.
 
@@ -47,18 +47,20 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     lo, hi, n = rows.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
     slices = max(1, -(-n // SLICE_ROWS))
     width = max(1, -(-((hi or 0) - (lo or 0) + 1) // slices))
-    full = (F.col("kind") == "response") & F.col("key").isNotNull() & F.col("ts").isNotNull()
-    rows = rows.withColumns({"slice": F.floor((F.col("ts") - F.lit(lo or 0)) / width), "full": F.when(full, F.struct("record_id", "digest", "headers")), "later": F.col("kind") == "revisit"})
-    order = [F.col("ts"), F.col("later"), F.col("record_id")]
-    near = Window.partitionBy("key", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumn("near", F.last("full", ignorenulls=True).over(near)).filter("later").drop("full")
+    full = F.col("kind") == "response"
+    placed = F.col("key").isNotNull() & F.col("ts").isNotNull()
+    lost = rows.filter(~placed & (F.col("kind") == "revisit"))  # nothing to join, so they meet in no window
+    rows = rows.filter(placed).withColumns({"slice": F.floor((F.col("ts") - F.lit(lo or 0)) / width), "full": F.when(full, F.struct("record_id", "digest", "headers")), "later": F.col("kind") == "revisit"})
+    near = Window.partitionBy("key", "slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("near", F.max_by("full", F.when(full, F.struct("ts", "record_id"))).over(near)).filter("later").drop("full")
     ends = rows.filter(F.col("full").isNotNull()).groupBy("key", "slice").agg(F.max_by("full", F.struct("ts", "record_id")).alias("full"))
     # what a slice starts with: the last response of the latest earlier slice
     marks = ends.unionByName(rows.filter("later").select("key", "slice").distinct().withColumn("full", F.lit(None).cast(ends.schema["full"].dataType)))
     marks = marks.groupBy("key", "slice").agg(F.max_by("full", F.col("full").isNotNull()).alias("full"))
     before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = marks.select("key", "slice", F.last("full", ignorenulls=True).over(before).alias("far"))
-    out = inside.join(starts, ["key", "slice"], "left").withColumn("of", F.when(F.col("ts").isNotNull(), F.coalesce("near", "far")))
+    out = inside.join(starts, ["key", "slice"], "left").withColumn("of", F.coalesce("near", "far")).select("record_id", "key", "digest", "headers", "of")
+    out = out.unionByName(lost.select("record_id", "key", "digest", "headers", F.lit(None).cast(out.schema["of"].dataType).alias("of")))
     head = lambda c, name: F.element_at(F.coalesce(c, F.create_map().cast("map<string,string>")), F.lit(name))
     own, old = F.col("headers"), F.col("of.headers")
     tag = lambda c: F.regexp_replace(head(c, "etag"), "^W/", "")

@@ -108,6 +108,16 @@ def test_stages(spark, tmp_path):
         read = kept
 
 
+def test_revisits_by_date_and_only_later(spark):
+    rows = [
+        ("1", "http://a.example/x", 10, "response", "d", {"last-modified": "Mon"}), ("2", "http://a.example/x", 10, "revisit", "d", {"last-modified": "Mon"}), ("3", "http://a.example/x", 11, "revisit", None, {"last-modified": "Mon"}),
+        ("4", "http://a.example/x", 12, "response", "e", {"last-modified": "Tue"}), ("5", "http://a.example/x", 12, "response", "f", {"last-modified": "Wed"}), ("6", "http://a.example/x", 13, "revisit", "e", {"last-modified": "Wed"}),
+        ("7", "http://a.example/x", 14, "revisit", "f", {"last-modified": "Mon"}), ("8", None, 15, "revisit", "f", None),
+    ]
+    captures = spark.createDataFrame(rows, "record_id string, url string, ts long, kind string, digest string, headers map<string,string>")
+    assert {r.record_id: r.source_id for r in revisits.resolve_revisits(captures).collect()} == {"2": None, "3": "1", "6": "5", "7": None, "8": None}
+
+
 def test_filters_keep_columns_whose_names_clash(spark):
     from flowspark.llm import jaccard_join, quality_model, secrets
 
