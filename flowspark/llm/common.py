@@ -23,7 +23,8 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """64 bits that equal rows share: computed again after a lost executor it is the same, unlike a running number."""
+    """64 bits that equal rows share: computed again after a lost executor it is the same, unlike a running number. Among n
+    different rows two share a key with a chance of n * n / 2**65: 3 % for a billion."""
     return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("\x00")), F.coalesce(text, F.lit("")), text.isNull())
 
 
@@ -45,9 +46,11 @@ def without_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), a folder of our own, set for the session."""
+    """The folder that spark.checkpoint.dir names. Only a local session may go without: it gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="flowspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

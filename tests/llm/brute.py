@@ -205,3 +205,45 @@ def kd_sizes(rows, shards):
             below += r[0]
 
     return leaves(rows, shards)
+
+
+_SHORT = re.compile(r"""(?:user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)""", re.I | re.A)
+_SECRET = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+_HOST = re.compile(r"(?:[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?)")
+
+
+def linked(text, scope=200):
+    """All spans (start, kind, end), weak parts included where their complements are near, by comparing every two."""
+    t = text or ""
+    base = base_spans(t)
+    who = [(m.start(), 3, m.end()) for m in _SHORT.finditer(t) if len(m[1]) >= 3]
+    bare = [(m.start(), 4, m.end()) for m in _SECRET.finditer(t) if re.search("[0-9]", m[0])]
+    host = [(m.start(), 5, m.end()) for m in _HOST.finditer(t) if len(m[0]) >= 7]
+    named = [(m.start(), 6, m.end()) for m in ASSIGN.finditer(t) if len(m[1]) < 12]
+    near = lambda a, b: a[0] <= b[2] + scope and b[0] <= a[2] + scope
+    apart = lambda a, b: a[2] <= b[0] or b[2] <= a[0]
+    pairs = [(a, b) for a in [x for x in base if x[1] == 1] + who for b in [x for x in base if x[1] != 1] + bare + named if near(a, b) and apart(a, b)]
+    both = {x for p in pairs for x in p}
+    with_hosts = {x for e in host for b in both | set(named) if near(e, b) for x in (e, b)}
+    weak = {x for x in both | with_hosts if x[1] > 2 and all(apart(x, b) for b in base)}
+    return sorted(set(base) | weak)
+
+
+def quality(train, good, calibrate, truth, rows, project, bins, ridge):
+    """Scores of rows by the ridge solution over all training rows at once, and isotonic means by their max-min formula."""
+    import numpy as np
+
+    z = project(train)
+    diagonal = np.diag([*[ridge] * (z.shape[1] - 1), 1e-6])
+    theta = np.linalg.lstsq(np.vstack([z, np.sqrt(diagonal)]), np.concatenate([good, np.zeros(z.shape[1])]), rcond=None)[0]
+    raw = project(calibrate) @ theta
+    at = np.clip(((raw + 0.5) / 2 * bins).astype(int), 0, bins - 1)
+    used = sorted(set(at.tolist()))
+    n = np.array([(at == b).sum() for b in used], dtype=float)
+    x = np.array([raw[at == b].sum() for b in used]) / n
+    y = np.array([truth[at == b].sum() for b in used]) / n
+    mean = lambda v, i, j: (v * n)[i : j + 1].sum() / n[i : j + 1].sum()
+    fit = np.array([max(min(mean(y, i, j) for j in range(k, len(used))) for i in range(k + 1)) for k in range(len(used))])
+    blocks = [np.flatnonzero(np.isclose(fit, v)) for v in sorted(set(np.round(fit, 12)))]
+    knots = np.array([(mean(x, b[0], b[-1]), fit[b[0]]) for b in blocks])
+    return np.clip(np.interp(project(rows) @ theta, knots[:, 0], knots[:, 1]), 0, 1)

@@ -126,3 +126,17 @@ def test_pooling_is_isotonic():
     x = np.sort(draw.normal(size=200))
     s, p = quality_model.pool(x, (draw.random(200) < 0.5) * 1.0, np.ones(200))
     assert (np.diff(p) > 0).all() and (np.diff(s) > 0).all()
+
+
+def test_scores_match_one_plain_solution(spark):
+    docs = {r.doc_id: r.text for r in queries.table(spark, SF, "documents").collect()}
+    labels = {r.doc_id: r.quality for r in queries.table(spark, SF, "labels").collect()}
+    stats = {d: np.array(quality_model.statistics(t or "")) for d, t in docs.items()}
+    part = lambda fold: [d for d in docs if d in labels and fold(brute.crc(d) % 5)]
+    fit, calibrate = part(lambda f: f not in (0, 4)), part(lambda f: f == 4)
+    x = np.array([stats[d] for d in fit])
+    project = quality_model.Projection(x.mean(0), np.sqrt(np.maximum((x * x).mean(0) - x.mean(0) ** 2, 1e-8)))
+    of = lambda ids: (np.array([stats[d] for d in ids]), np.array([float(labels[d]) for d in ids]))
+    want = brute.quality(*of(fit), *of(calibrate), np.array([stats[d] for d in docs]), project, quality_model.BINS, quality_model.RIDGE)
+    got = {r.doc_id: r.score for r in queries.op4_quality_classifier(spark, SF).collect()}
+    assert max(abs(got[d] - w) for d, w in zip(docs, want)) < 1e-5
