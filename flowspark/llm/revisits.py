@@ -51,8 +51,9 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     placed = F.col("key").isNotNull() & F.col("ts").isNotNull()
     lost = rows.filter(~placed & (F.col("kind") == "revisit"))  # nothing to join, so they meet in no window
     rows = rows.filter(placed).withColumns({"slice": F.floor((F.col("ts") - F.lit(lo or 0)) / width), "full": F.when(full, F.struct("record_id", "digest", "headers")), "later": F.col("kind") == "revisit"})
-    near = Window.partitionBy("key", "slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumn("near", F.max_by("full", F.when(full, F.struct("ts", "record_id"))).over(near)).filter("later").drop("full")
+    # revisits stand before the responses of their time, so what a revisit has before it is strictly earlier
+    near = Window.partitionBy("key", "slice").orderBy("ts", F.desc("later"), "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("near", F.last("full", ignorenulls=True).over(near)).filter("later").drop("full")
     ends = rows.filter(F.col("full").isNotNull()).groupBy("key", "slice").agg(F.max_by("full", F.struct("ts", "record_id")).alias("full"))
     # what a slice starts with: the last response of the latest earlier slice
     marks = ends.unionByName(rows.filter("later").select("key", "slice").distinct().withColumn("full", F.lit(None).cast(ends.schema["full"].dataType)))
