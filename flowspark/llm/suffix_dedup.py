@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, pick
-from .hashing import windows
+from .hashing import mix, windows
 
 SPAN, GRAM, CELL = 100, 32, 8
 ROOM = SPAN - GRAM  # the largest offset of an anchor in its window
@@ -55,6 +55,8 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors that a batch holds twice are known to repeat: they go with a salt of their own, and only the first of them
+    once more with salt 0, where it meets those of other batches. So a hot anchor brings its meeting one row a batch."""
     seen: set[int] = set()  # texts of this partition
     for b in batches:
         out: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(3)]
@@ -64,7 +66,16 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h, at = anchors(np.frombuffer((t.as_py() or "").encode(), dtype=np.uint8))
                 for x, y in zip(out, (h, np.full(len(h), uid), at)):
                     x.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h", "uid", "at"])
+        h, uid, at = (np.concatenate(x) for x in out)
+        order = np.argsort(h, kind="stable")
+        as_before = np.concatenate([[False], h[order][1:] == h[order][:-1]])[: len(h)]
+        as_next = np.concatenate([as_before[1:], [False]])[: len(h)]
+        salt = np.zeros(len(h), dtype=np.int64)
+        salt[order[as_before | as_next]] = 1
+        salt *= (mix((uid ^ at).view(np.uint64)) | np.uint64(1)).view(np.int64)
+        rows = np.concatenate([np.arange(len(h)), order[as_next & ~as_before]])
+        salt = np.concatenate([salt, np.zeros(len(rows) - len(h), dtype=np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(h[rows]), pa.array(uid[rows]), pa.array(at[rows]), pa.array(salt)], names=["h", "uid", "at", "salt"])
 
 
 def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,14 +153,15 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor; each chunk holds whole anchors."""
     held: list[pa.RecordBatch] = []
     for b in batches:
+        if not b.num_rows:
+            continue
         held.append(b)
-        if sum(x.num_rows for x in held) >= CHUNK:
+        if sum(x.num_rows for x in held) >= CHUNK and held[0].column(0)[0] != b.column(0)[-1]:
             t = pa.Table.from_batches(held).combine_chunks()
             h = t.column("h").to_numpy()
             n = int(np.searchsorted(h == h[-1], True))  # the last anchor may go on
-            if n:
-                yield _settled(t.slice(0, n))
-                held = t.slice(n).to_batches()
+            yield _settled(t.slice(0, n))
+            held = t.slice(n).to_batches()
     if held:
         yield _settled(pa.Table.from_batches(held).combine_chunks())
 
@@ -203,8 +215,9 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     same = rows.groupBy("doc_id", "ord", "uid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")).agg(F.count(F.lit(1)).alias("times"))
     same = cut(same, "dedup-rows")
     first = same.groupBy("uid").agg(F.min("ord").alias("ord"))
-    met = rows.select("uid", "text").mapInArrow(_anchor_rows, "h long, uid long, at long")
-    met = met.selectExpr("*", "xxhash64(uid, at) as place").selectExpr("h", "uid", "at", "min(place) over (partition by h) as p0", "max(place) over (partition by h) as p1").filter("p0 <> p1")
+    met = rows.select("uid", "text").mapInArrow(_anchor_rows, "h long, uid long, at long, salt long")
+    ends = [f"{f}({c}) over (partition by h, salt) as {f}_{c}" for f in ("min", "max") for c in ("uid", "at")]
+    met = met.selectExpr("h", "uid", "at", "salt", *ends).filter("salt <> 0 or min_uid <> max_uid or min_at <> max_at")
     met = cut(met.select("h", "uid", "at").distinct(), "dedup-anchors")
     per_text = met.groupBy("uid").agg(F.collect_list("at").alias("found")).join(first, "uid")
     parts = _one_row(rows, per_text).select("uid", "ord", "text", "found").mapInArrow(_fragment_rows, "h long, hi int, lo int, bytes binary, ord long, uid long, pos long")
