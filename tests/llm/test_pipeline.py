@@ -139,3 +139,19 @@ def test_pipeline_runs_as_a_whole(spark):
 
     rows = corpus_pipeline.run(spark, SF).collect()
     assert len({r.doc_id for r in rows}) == len(rows) > 0 and all(r.n_tokens == (r.ids.count(" ") + 1 if r.ids else 0) for r in rows)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, empty, long and repeated rows, extra columns: empty texts all stay, of equal rows one stays,
+    and without labels or items nothing else goes."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    plain = "one two three four five six seven eight"
+    rows = [(None, None, None, None, None, "a"), (None, "", "en", "s", 0, "b"), (1, plain, "en", "s", 39, "c"), (1, plain, "en", "s", 39, "c"), (None, "other words that stand alone here", None, None, None, None), (2, long, "de", "s", len(long), "d"), (3, None, "en", None, 0, "e")]
+    kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long, row string", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id string, text string"}
+    for name, given, items in (("odd", rows, [("i", None), (None, "")]), ("none", [], [])):
+        for table, schema in kinds.items():
+            some = {"documents": given, "labels": [], "benchmark": items}[table]
+            spark.createDataFrame(some, schema).write.parquet(f"file://{tmp_path}/{name}/{table}.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}/odd").collect()
+    assert sorted((r.doc_id or 0, r.n_tokens > 0) for r in out) == [(0, False), (0, False), (0, True), (1, True), (2, True), (3, False)]
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
