@@ -100,16 +100,24 @@ def _fields(block: bytes) -> list[tuple[str, str]]:
     return [(k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines if ":" in x)]
 
 
+def _unpacked(raw: bytes, step: int = 1 << 16) -> bytes:
+    """All members, one a record. They are fed in steps, so that what a member leaves over is short: time is linear."""
+    out, at = [], 0
+    while raw[at : at + 2] == b"\x1f\x8b":
+        d = zlib.decompressobj(31)
+        while not d.eof and at < len(raw):
+            part = raw[at : at + step]
+            out.append(d.decompress(part))
+            at += len(part) - len(d.unused_data)
+        out.append(d.flush())
+    return b"".join(out)
+
+
 def parse_warc(raw: bytes) -> Iterator[dict]:
     import datetime
 
     if raw[:2] == b"\x1f\x8b":
-        out = []
-        while raw[:2] == b"\x1f\x8b":  # one member a record
-            d = zlib.decompressobj(31)
-            out.append(d.decompress(raw) + d.flush())
-            raw = d.unused_data
-        raw = b"".join(out)
+        raw = _unpacked(raw)
     at = raw.find(b"WARC/")
     while at >= 0:
         end = raw.find(b"\r\n\r\n", at)
