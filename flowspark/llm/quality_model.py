@@ -70,7 +70,8 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 
 def _sums(parts: DataFrame, width: int, rows_to_sums) -> np.ndarray:
-    """Adds up what rows_to_sums makes of each partition: one vector a partition, then one for each of eight tasks."""
+    """Adds up what rows_to_sums makes of each partition, in levels: one vector a partition, then one for each shuffle
+    partition (adaptive execution joins small ones), then one for each of eight tasks."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
@@ -83,13 +84,16 @@ def _sums(parts: DataFrame, width: int, rows_to_sums) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
 
     def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
+        total, some = np.zeros(width), False
         for b in batches:
             for v in b.column(0):
-                total += np.frombuffer(v.as_py())
-        yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
+                total, some = total + np.frombuffer(v.as_py()), True
+        if some:
+            yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
 
-    got = parts.mapInArrow(first, "v binary").repartition(8).mapInArrow(then, "v binary").collect()
+    each = parts.mapInArrow(first, "v binary").withColumn("part", F.spark_partition_id())
+    level = each.repartition("part").select("v").mapInArrow(then, "v binary")
+    got = level.repartition(8).mapInArrow(then, "v binary").collect()
     return np.sum([np.frombuffer(r.v) for r in got], axis=0) if got else np.zeros(width)
 
 
