@@ -14,6 +14,9 @@ comparing, so a large group of near copies never becomes all its pairs. Sizes an
 from below inside that join, and a pair comes out of the least signature that it shares, so that few rows come out;
 those are verified on whole sets.
 
+Each pair carries a whole set to the other, and rows that meet are wide, so both go in waves: what is on the disks at a
+time grows with the corpus, however many pairs or meetings it holds.
+
 Shingles, sets and signatures stand as 64-bit hashes: 1e9 different ones hold a false match with a chance of 3 %.
 Nulls: a null text is empty; empty texts link with nothing. A null doc_id takes part like any row, and a component's
 id is the least doc_id that is not null. Repeated rows each get a row. Empty tables give empty results. Extra columns
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, pick, position, row_key
+from .common import cut, discard, numbered, pick, position, row_key
 from .hashing import chunks, lower, mix, shingle_sets
 
 BAND = 1.3
@@ -39,6 +42,8 @@ SMALL = 0  # shingles of a segment that too many sets share
 SKETCH = 8  # longs of 64 parity bits, at least
 LEADERS, ROUNDS = (4, 32, 32), 3
 LOW = 16  # signatures by which a pair knows that it met before
+#: What one wave may carry, as a share of the corpus' shingles: sets to compare, and rows of about 40 longs that meet.
+CARRY, WIDE = 0.25, 0.02
 #: The cost model: chance that related but different sets agree on a shingle, and the weight of a chance meeting. Measured
 #: on 47,000 sets: leaving out segments of up to three shingles, or a weight of 200, took three to four times the
 #: signatures and two to nine times the meetings, since slack and neighbourhoods make more and smaller segments.
@@ -217,6 +222,7 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[
     rows = pick(docs, "doc_id", "text").select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
     shape = rows.select("doc_id", "row", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("array<long>").alias("bits")).schema
     described = cut(rows.mapInArrow(_describe(size), shape), "jaccard-docs")
+    shingles = described.agg(F.sum("n")).first()[0] or 0
     classes = described.filter("key is not null").groupBy("key").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     sigs = rows.select("text").mapInArrow(_emit(size, percent), "sig long, key long")
     met = sigs.selectExpr("sig", "key", "min(key) over (partition by sig) as leader", "max(key) over (partition by sig) as last").filter("leader <> last").select("sig", "key", "leader").distinct()
@@ -229,11 +235,11 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[
         stars = mixed.filter("comp <> other").groupBy(F.col("leader").alias("a"), F.col("key").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
         stars = stars.withColumn("place", F.expr("row_number() over (partition by b order by shared desc, a)")).filter(f"place <= {LEADERS[turn]}").select("a", "b")
         stars = cut(_possible(stars if known is None else stars.join(known, ["a", "b"], "left_anti"), classes, percent), "jaccard-stars")
-        known = stars if known is None else known.unionByName(stars)
+        known = stars.select("a", "b") if known is None else known.unionByName(stars.select("a", "b"))
         wanted = stars.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         new = _tokens(rows, classes, wanted if tokens is None else wanted.join(tokens.select("key"), "key", "left_anti"), size)
         tokens = cut(new, "jaccard-tokens") if tokens is None else tokens.unionByName(cut(new, "jaccard-tokens"))
-        links = _similar(stars, tokens, percent)
+        links = _similar(stars, tokens, percent, CARRY * shingles)
         labels = components(labels, links)
         there = mixed.select("sig", "key").join(labels, "key")
         mixed = there.selectExpr("*", "min(comp) over (partition by sig) as c0", "max(comp) over (partition by sig) as c1", f"min(struct(xxhash64(key, {turn}) as x, key, comp)) over (partition by sig) as lead")
@@ -242,15 +248,20 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[
             break
     low = mixed.groupBy("key").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, LOW).alias("low"))  # a class's signatures are bounded by its own set
     packed = classes.select("key", "n", "bits", *[_folded(i).alias(f"w{i}") for i in range(SKETCH)]).withColumn("bits", F.when(F.size("bits") > SKETCH, F.col("bits")))
-    mixed = cut(mixed.select("sig", "key", "comp").join(packed, "key").join(low, "key"), "jaccard-mixed")
-    side = lambda x: mixed.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in mixed.columns if c != "sig"])
+    waves, found = _waves(mixed.count(), WIDE * shingles), []
     apart = (F.col("key_a") < F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & _near(percent) & _first_meeting()
-    left = side("a").join(side("b").withColumnRenamed("sig", "sig_b"), (F.col("sig") == F.col("sig_b")) & apart).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
-    left = cut(left.join(known, ["a", "b"], "left_anti"), "jaccard-left")
+    low = cut(low, "jaccard-low")
+    for w in range(waves):
+        wide = cut(mixed.filter(_wave("sig", waves) == w).select("sig", "key", "comp").join(packed, "key").join(low, "key"), "jaccard-wide")
+        side = lambda x: wide.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in wide.columns if c != "sig"])  # noqa: B023, E731
+        pairs = side("a").join(side("b").withColumnRenamed("sig", "sig_b"), (F.col("sig") == F.col("sig_b")) & apart).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.col("n_b").alias("n")).distinct()
+        found.append(cut(pairs.join(known, ["a", "b"], "left_anti"), "jaccard-left"))
+        discard(wide)
+    left = _union(found).distinct() if waves > 1 else found[0]
     if not left.isEmpty():
         more = left.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(tokens.select("key"), "key", "left_anti")
         tokens = tokens.unionByName(cut(_tokens(rows, classes, more, size), "jaccard-tokens"))
-        labels = components(labels, _similar(left, tokens, percent))
+        labels = components(labels, _similar(left, tokens, percent, CARRY * shingles))
     return described, labels
 
 
@@ -284,21 +295,38 @@ def _allowed(percent: int) -> Column:
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     side = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_allowed(percent)).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_allowed(percent)).select("a", "b", F.col("n_b").alias("n"))
 
 
 def _tokens(rows: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """key and the whole set of each wanted class, from the text of one row of the class."""
-    of = classes.select("key", "row").join(wanted, "key")
+    of = cut(classes.select("key", "row").join(wanted, "key"), "jaccard-wanted")  # few of them then go to the texts, not the texts to them
     texts = rows.select("row", "text").join(of, "row").dropDuplicates(["key"]).select("key", "text")
     return texts.mapInArrow(_whole(size), "key long, tokens array<long>")
 
 
-def _similar(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar, by exact counts."""
-    side = lambda c: tokens.select(F.col("key").alias(c), F.col("tokens").alias(f"t_{c}"))
-    out = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("both", F.size(F.array_intersect("t_a", "t_b")))
-    return cut(out.filter((F.size("t_a") + F.size("t_b") - F.col("both")) * percent <= F.col("both") * 100).select("a", "b"), "jaccard-links")
+def _waves(carried: int, most: float) -> int:
+    return max(1, -int(-carried // max(1, most)))
+
+
+def _wave(column: str, waves: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(column), F.lit("wave")), F.lit(waves))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _similar(pairs: DataFrame, tokens: DataFrame, percent: int, most: float) -> DataFrame:
+    """The pairs whose sets are similar, by exact counts. A pair (a, b, n) carries b's n shingles to a; a wave has the
+    pairs of some b, which carry about `most` shingles."""
+    waves, found = _waves(pairs.agg(F.sum("n")).first()[0] or 0, most), []
+    for w in range(waves):
+        own, sets = (pairs, tokens) if waves == 1 else (pairs.filter(_wave("b", waves) == w), tokens.filter(_wave("key", waves) == w))
+        side = lambda c, t: t.select(F.col("key").alias(c), F.col("tokens").alias(f"t_{c}"))
+        out = own.select("a", "b").join(side("b", sets), "b").join(side("a", tokens), "a").withColumn("both", F.size(F.array_intersect("t_a", "t_b")))
+        found.append(cut(out.filter((F.size("t_a") + F.size("t_b") - F.col("both")) * percent <= F.col("both") * 100).select("a", "b"), "jaccard-links"))
+    return _union(found)
 
 
 def row_components(docs: DataFrame, size: int, percent: int) -> DataFrame:

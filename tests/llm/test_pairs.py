@@ -84,6 +84,26 @@ def test_jaccard_random_groups(spark, odd):
     assert jaccard_join.jaccard_components(odd.limit(0)).count() == 0 and jaccard_join.keep_one(odd).columns == odd.columns
 
 
+def test_pairs_and_meetings_go_in_waves(spark, monkeypatch):
+    """A table of many pairs takes several waves, so no wave carries all sets; nothing is lost by that."""
+    draw, made = random.Random(8), Counter()
+    rows = []
+    for _ in range(6):
+        base = [f"{draw.choice('abcdefghij')}{draw.randint(0, 40)}" for _ in range(draw.choice([20, 60]))]
+        for _ in range(8):
+            w = list(base)
+            for _ in range(draw.randint(0, 4)):
+                w[draw.randrange(len(w))] = draw.choice("xyz")
+            rows.append((len(rows), " ".join(w)))
+    cut = jaccard_join.cut
+    monkeypatch.setattr(jaccard_join, "cut", lambda df, name: made.update([name]) or cut(df, name))
+    assert [jaccard_join._waves(n, 10.0) for n in (0, 1, 10, 11, 95)] == [1, 1, 1, 2, 10] and jaccard_join._waves(5, 0.0) == 5
+    monkeypatch.setattr(jaccard_join, "_waves", lambda carried, most: 3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect())
+    assert got == brute.jaccard(rows, 4, 85)
+    assert made["jaccard-links"] >= 3 and made["jaccard-links"] % 3 == 0 and made["jaccard-wide"] == 3, made
+
+
 def test_keep_one_does_not_mix_components_under_null_or_repeated_ids(spark):
     one, two, three, four = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcd")
     rows = [(None, one), (None, two), (None, two + " more"), (7, three), (7, four), (8, four)]
