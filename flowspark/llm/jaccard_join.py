@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, numbered, pick, position, row_key
+from .common import cut, cut_last, discard, numbered, pick, position, row_key, sieved
 from .hashing import chunks, lower, mix, shingle_sets
 
 BAND = 1.3
@@ -300,8 +300,8 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _tokens(rows: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """key and the whole set of each wanted class, from the text of one row of the class."""
-    of = cut(classes.select("key", "row").join(wanted, "key"), "jaccard-wanted")  # few of them then go to the texts, not the texts to them
-    texts = rows.select("row", "text").join(of, "row").dropDuplicates(["key"]).select("key", "text")
+    of = cut(classes.select("key", "row").join(wanted, "key"), "jaccard-wanted")
+    texts = sieved(rows.select("row", "text"), "row", of).join(of, "row").dropDuplicates(["key"]).select("key", "text")
     return texts.mapInArrow(_whole(size), "key long, tokens array<long>")
 
 
@@ -331,9 +331,13 @@ def _similar(pairs: DataFrame, tokens: DataFrame, percent: int, most: float) ->
 
 def row_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, row, n_shingles and comp, the component's own key (null without shingles): one row for each row of docs."""
-    described, labels = similar_classes(docs, size, percent)
-    own = described.select("doc_id", "row", F.col("n").alias("n_shingles"), "key").join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    return cut(own.select("doc_id", "row", "n_shingles", "comp"), "jaccard-own")
+
+    def work() -> DataFrame:
+        described, labels = similar_classes(docs, size, percent)
+        own = described.select("doc_id", "row", F.col("n").alias("n_shingles"), "key").join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        return own.select("doc_id", "row", "n_shingles", "comp")
+
+    return cut_last(work, "jaccard-own")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, row_key, without_rows
+from .common import cut, numbered, pick, position, row_key
 
 FEATURES = 256
 BINS = 512
@@ -135,6 +135,10 @@ class Model:
         r = self.raw(x)
         return np.clip(np.interp(r, *self.knots) if self.knots else r, 0.0, 1.0)
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """score of any number of rows."""
+        return np.concatenate([np.zeros(0), *[self.score(x[i : i + ROWS]) for i in range(0, len(x), ROWS)]])
+
 
 def fit(labelled: DataFrame, calibration: Column) -> Model:
     """labelled: stats, label, and what calibration reads. The rows for which it holds calibrate, the others fit."""
@@ -168,27 +172,35 @@ def fit(labelled: DataFrame, calibration: Column) -> Model:
     return Model(project, theta, pool(score / size, good, size) if len(size) else None)
 
 
+def _learnt(seen: DataFrame, labels: DataFrame, trains: Column, calibrates: Column) -> Model:
+    marks = pick(labels, "doc_id", "quality").filter("quality is not null").select("doc_id", F.col("quality").cast("double").alias("label")).filter(trains)
+    return fit(seen.join(marks, "doc_id").select("doc_id", "stats", "label"), calibrates)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, trains: Column, calibrates: Column) -> DataFrame:
     """doc_id, row and score. trains and calibrates are conditions on doc_id: which labelled rows are learnt from, and which
     of those calibrate. labels, lang, source and doc_id are no inputs of a score."""
     seen = cut(with_statistics(docs), "quality-statistics")
-    marks = pick(labels, "doc_id", "quality").filter("quality is not null").select("doc_id", F.col("quality").cast("double").alias("label")).filter(trains)
-    model = fit(seen.join(marks, "doc_id").select("doc_id", "stats", "label"), calibrates)
+    model = _learnt(seen, labels, trains, calibrates)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array(b.column(2).flatten(), dtype=float).reshape(b.num_rows, len(NAMES))
-            score = np.concatenate([np.zeros(0), *[model.score(x[i : i + ROWS]) for i in range(0, len(x), ROWS)]])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], names=["doc_id", "row", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.scores(x), pa.float64())], names=["doc_id", "row", "score"])
 
     return seen.mapInArrow(work, seen.select("doc_id", "row", F.lit(0.0).alias("score")).schema)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """docs without the documents that score below least; every labelled row is learnt from, a fifth of them for
-    calibration. Each text is judged by its own score, whatever other rows its doc_id, null or repeated, has."""
+    calibration. Each text is judged by its own score, whatever other rows its doc_id, null or repeated, has. A second
+    pass over the texts scores them where they are: that takes their statistics twice, but no text is shuffled."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    scores = score_quality(docs, labels, F.lit(True), fold == 4)
-    # Written, so that its size is known: below Spark's threshold it is broadcast and no text moves.
-    low = cut(scores.filter(F.col("score") < least).select("row").distinct(), "quality-low")
-    return without_rows(docs, low, "left_anti")
+    model = _learnt(cut(with_statistics(docs), "quality-statistics"), labels, F.lit(True), fold == 4)
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        x = np.array([statistics(t.as_py() or "") for t in texts], dtype=float).reshape(len(texts), len(NAMES))
+        return pa.array(model.scores(x), pa.float64())
+
+    return numbered(docs).filter(score(F.col(f"c{position(docs, 'text')}")) >= least).toDF(*docs.columns)

@@ -1,4 +1,5 @@
 import gzip
+import os
 import re
 
 import duckdb
@@ -155,3 +156,48 @@ def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
     out = corpus_pipeline.run(spark, f"file://{tmp_path}/odd").collect()
     assert sorted((r.doc_id or 0, r.n_tokens > 0) for r in out) == [(0, False), (0, False), (0, True), (1, True), (2, True), (3, False)]
     assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_no_text_is_shuffled_by_the_classifier(spark):
+    """However many rows are rejected: also where no table is small enough to be broadcast."""
+    from flowspark.llm import quality_model
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        kept = quality_model.drop_low_quality(queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels"))
+        assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString() and 0 < kept.count() < queries.table(spark, SF, "documents").count()
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_near_duplicates_leave_only_their_last_tables(spark):
+    from flowspark.llm import common, jaccard_join
+
+    begin = len(common._written)
+    kept = jaccard_join.keep_one(queries.table(spark, SF, "documents"))
+    tops = {p.rpartition("/")[0].removeprefix("file://") for p in common._written[begin:]}
+    assert len(tops) == 1 and not [d for d in os.listdir(tops.pop()) if re.match("jaccard-(docs|met|labels|stars|tokens|mixed|links|low|wanted|wide|left)|cc-", d)]
+    assert kept.count() > 0
+
+
+def test_sieve_keeps_what_matches(spark, monkeypatch):
+    from flowspark.llm import common
+
+    monkeypatch.setattr(common, "FEW", 0)
+    rows = spark.range(20_000).selectExpr("xxhash64(id) as row", "id")
+    for n in (0, 1, 3, 700):
+        left = {r.id for r in common.sieved(rows, "row", rows.filter(f"id % 7 = 0 and id < {7 * n}").select("row")).collect()}
+        assert left >= {7 * i for i in range(n)} and len(left) - n < 20_000 // 12
+    monkeypatch.undo()
+    assert common.sieved(rows, "row", rows.limit(5)) is rows
+
+
+def test_near_duplicates_through_the_sieve(spark, monkeypatch):
+    from flowspark.llm import common, jaccard_join
+
+    docs = queries.table(spark, SF, "documents")
+    monkeypatch.setattr(common, "FEW", 0)
+    group = {d: c for (d, _, c) in brute.jaccard([(r.doc_id, r.text) for r in docs.collect()], 5, 80)}
+    assert {r.doc_id for r in jaccard_join.keep_one(docs).collect()} == {d for d, c in group.items() if d == c}
