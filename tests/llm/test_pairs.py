@@ -129,3 +129,20 @@ def test_repeats_random(spark, odd):
     assert Counter(tuple(r)[:5] for r in out.collect()) == brute.repeats(rows)
     assert Counter(tuple(r)[:5] for r in suffix_dedup.dedup_spans(odd).collect()) == brute.repeats([x[:2] for x in ODD])
     assert suffix_dedup.dedup_spans(odd.limit(0)).count() == 0
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """op7 fills the disks by what its steps shuffle: what a finished step has shuffled must not wait for a collection."""
+    import time
+
+    from flowspark.llm import common
+
+    disks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = files()
+    df = spark.range(10_000).selectExpr("id % 77 as k").repartition(5, "k").groupBy("k").count()
+    out = common.cut(df, "test")
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and out.count() == 77
