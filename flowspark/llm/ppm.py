@@ -10,7 +10,9 @@ The trie is never on one machine. Blocks of documents give their distinct grams
 counts; tables of grams, one for each order, are joined from short contexts to long, which gives every gram that
 occurs anywhere its code length; each block gets back the code lengths of its own grams. So what moves grows with the
 text, no model is broadcast, and nothing about the corpus reaches the driver but totals. Words for the base score
-travel the same way, as 64-bit hashes: 1e9 different words hold a false match with a chance of 3 %.
+travel the same way, as 64-bit hashes: 1e9 different words hold a false match with a chance of 3 %. A word that came c
+times among N training tokens, V of them different, has the base probability (c + 1) / (N + V + 1): one more each, and
+one word for all that training never met.
 
 Nulls: a null text is empty: one end. A row without doc_id trains by the value of `trains`. Repeated rows train as often
 as they stand there, and each gets a row. An empty table gives an empty result. Extra columns are ignored.
@@ -154,7 +156,7 @@ def ppm_score(docs: DataFrame, trains: Column, order: int = ORDER, block: int =
     lengths = code_lengths(cut(counts, "ppm-grams"), order)
     words = cut(found.filter("word").groupBy("key").agg(F.sum("n").alias("n")), "ppm-words")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    scored = words.select("key", (F.col("n") > 0).alias("known"), F.log10((F.col("n") + 1) / (F.lit(float(total + 1)) * (kinds + 1))).alias("p"))
+    scored = words.select("key", (F.col("n") > 0).alias("known"), F.log10((F.col("n") + 1) / F.lit(float(total + kinds + 1))).alias("p"))
     back = found.filter("not word").select("block", "word", "key").join(lengths.select(F.col("gram").alias("key"), F.lit(True).alias("known"), "p"), "key")
     back = back.unionByName(found.filter("word").select("block", "word", "key").join(scored, "key")).select("block", "word", "key", "known", "p")
     both = rows.groupBy("block").cogroup(back.groupBy("block"))

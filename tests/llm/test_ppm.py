@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,3 +45,15 @@ def test_edges(spark):
     odd = spark.createDataFrame(ODD, SCHEMA)
     assert ppm.ppm_score(odd, F.col("doc_id") > 2).count() == len(ODD) and ppm.ppm_score(odd, F.lit(False)).count() == len(ODD)
     assert ppm.ppm_score(odd.limit(0), F.lit(True)).count() == 0
+
+
+def test_query_keeps_its_contract_on_odd_rows(spark, tmp_path):
+    rows = [(1, "a b A"), (2, None), (3, ""), (None, "a zz"), (None, None), (5, "b\x0bB \x1c c"), (6, "new é É"), (9, "a"), (9, "a"), (13, "\xa0 a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tokens = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in brute.SPACE.findall(t or "")] + [None]
+    held = lambda d: d is not None and brute.crc(d) % 7 == 2
+    words = Counter(w for d, t in rows if not held(d) for w in tokens(t))
+    n, v = sum(words.values()), len(words)
+    want = sorted((str(d), held(d), len(tokens(t)), sum(words[w] > 0 for w in tokens(t)), n, round(sum(math.log10((words[w] + 1) / (n + 1 * (v + 1))) for w in tokens(t)), 6)) for d, t in rows)
+    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in queries.op3_ppm_scoring(spark, str(tmp_path)).collect())
+    assert got == want and {x[1] for x in want} == {True, False}
