@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark.functions import rendering
+from flowspark.functions.protocols import standard
 from flowspark.operators import condense, dissect, forest, lifecycle, rollups, sessions, views
 from flowspark.plans import queries
 from flowspark.plans.where import QueryError, compile_where
@@ -183,3 +184,29 @@ def test_streaming_sessions_and_snapshots(spark, tmp_path):
     events = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "pub" / "events")).collect()]
     assert Counter(e["event"] for e in events) == {"stream_new": 3}
     assert pcap.stats(pcap.read_pcap(spark, str(tmp_path / "caps"), most=5)).first()["packets"] == 5
+
+
+def test_records_compute_what_is_read(spark, made):
+    """A query of counters reads no keys, children or numbers, and key fields need no search through the key."""
+    view = views.records(forest.streams(forest.packet_hits(made)), second=1)
+    plan = view.select("path", "packets")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Window", "conv(", "transform("))
+    plan = view.select("key_fields", "endpoints")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "aggregate(" not in plan
+
+
+def test_known_fields_equal_those_found_in_the_key(spark, made):
+    nodes = forest.streams(forest.packet_hits(made)).filter("protocol in ('ethernet', 'ipv4', 'tcp', 'udp')")
+    for name, identity in views.identities(standard()).items():
+        own = nodes.filter(F.col("protocol") == name)
+        if identity[2] and name in ("ethernet", "ipv4", "tcp", "udp"):
+            found = rendering.key_fields(rendering.key_parts(F.col("key")), F.col("initiator"), *identity[:2])
+            rows = own.select(F.array(*found).alias("a"), F.array(*rendering.known_fields(F.col("key"), F.col("initiator"), *identity)).alias("b"), rendering.endpoints(found, *identity[:2]).alias("c")).collect()
+            assert rows and all(r.a == r.b and "↔" in r.c for r in rows)
+
+
+@pytest.mark.parametrize("step, extra", [(1, []), (5, []), (1, [10**12])])
+def test_creation_order_with_gaps(spark, step, extra):
+    rows = [(str(i), i * step, d) for i in range(400) for d in (1, 0)] + [(f"x{n}", n, 0) for n in extra]
+    got = forest.created_seq(spark.createDataFrame(rows, "path string, first_packet long, depth int")).collect()
+    assert [r.created_seq for r in sorted(got, key=lambda r: (r.first_packet, r.depth))] == list(range(len(rows)))
