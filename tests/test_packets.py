@@ -1,7 +1,9 @@
 """Capture files, the walk through layers, and the forest of dissected packets."""
 
+import random
 import struct
 
+import pyarrow as pa
 import pytest
 
 from flowspark.functions.protocols import PROTOCOLS, routes
@@ -131,3 +133,42 @@ def test_registry():
     with pytest.raises(ValueError):
         routes(add={"udp_port:1": "nothing"})
     assert routes(add={"udp_port:9": "vxlan"})["udp_port:9"].name == "vxlan" and "udp_port:4789" not in routes(remove=("udp_port:4789",))
+
+
+def _odd_frames():
+    draw = random.Random(3)
+    raw = lambda n: bytes(draw.randrange(256) for _ in range(n))
+    port = lambda: draw.choice([53, 80, 7, 31000, 65535]).to_bytes(2, "big")
+    for _ in range(600):
+        proto = draw.choice([6, 6, 17, 17, 1])
+        head = raw(12) + draw.choice([b"\x08\x00"] * 8 + [b"\x86\xdd"]) + bytes([draw.choice([0x45] * 9 + [0x46, 0x55])]) + raw(5) + draw.choice([b"\0\0"] * 6 + [b"\x20\x01"]) + raw(1) + bytes([proto]) + raw(10)
+        body = port() + port() + raw(8) + bytes([draw.choice([0x50] * 6 + [0x60, 0x40])]) + raw(7) if proto == 6 else port() + port() + raw(4)
+        whole = head + body + raw(draw.choice([0, 1, 5, 40]))
+        yield whole if draw.random() < 0.8 else whole[: draw.randrange(len(whole) + 1)], draw.choice([1, 1, 1, 1, 101, None])
+    yield from [(None, 1), (b"", 1)]
+
+
+@pytest.mark.parametrize("depth", dissect.DEPTHS)
+def test_usual_frames_equal_the_walk(spark, depth):
+    """Most frames of this kind are read in numpy; all agree with the walk, and the hits with packet_hits."""
+    frames = list(_odd_frames())
+    made = dissect.dissect(spark.createDataFrame([(i, 5, 100, t, d) for i, (d, t) in enumerate(frames)], "packet_no long, ts long, origlen int, link_type int, data binary"), depth=depth, diagnose=True)
+    table = routes()
+    usual, rest = dissect.split(pa.array([d for d, _ in frames], pa.binary()), pa.array([t for _, t in frames], pa.int32()), dissect.usual_of(table, 32, None, None))
+    assert len(rest) > 100 and len(frames) - len(rest) > 50 and len(usual) == 2
+    for r in made.collect():
+        data, link = frames[r.packet_no]
+        layers, stop, route, left = dissect.walk(data or b"", link, table, depth=depth)
+        got = [x.asDict(True) for x in r.layers]
+        for x in [f for y in got for f in y["fields"]]:
+            x["raw"] = None if x["raw"] is None else bytes(x["raw"])
+        assert (got, r.stop, r.stop_class, r.route, r.opaque_len) == (layers, stop, dissect.STOP_CLASSES[stop], route, left)
+        lost = r.stop_class == "unknown_payload" and bool(layers)
+        assert (r.sample is not None) == lost and (not lost or bytes(r.sample) == data[len(data) - left :][:256])
+        assert not lost or [(x.protocol, x.score) for x in r.near_misses] == [(p.name, n) for n, p in dissect.scores(data[len(data) - left :], table, layers[-1]["protocol"])[:5]]
+
+
+def test_hits_equal_packet_hits(spark):
+    packets = spark.createDataFrame([(i, i * 3, 100 + i, t, d) for i, (d, t) in enumerate(_odd_frames())], "packet_no long, ts long, origlen int, link_type int, data binary")
+    want = forest.packet_hits(dissect.dissect(packets, depth="none"))
+    assert sorted(map(tuple, dissect.hits(packets).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
