@@ -213,3 +213,25 @@ def test_creation_order_with_gaps(spark, step, extra):
     rows = [(str(i), i * step, d) for i in range(400) for d in (1, 0)] + [(f"x{n}", n, 0) for n in extra]
     got = forest.created_seq(spark.createDataFrame(rows, "path string, first_packet long, depth int")).collect()
     assert [r.created_seq for r in sorted(got, key=lambda r: (r.first_packet, r.depth))] == list(range(len(rows)))
+
+
+def test_clamped_rollups_read_the_packets_once(spark, made):
+    """One pass over the packets for a kind and field that is asked for, the same rollups as without a condition, and caps
+    of series below the clamp hold."""
+    obs = rollups.observations(made)
+    one = rollups.of_fields(obs, 2).filter("kind = 'accumulate' and field = 'protocol'")
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    every = rollups.of_fields(obs, 2).collect()
+    assert sorted(map(tuple, one.collect())) == sorted(tuple(r) for r in every if (r.kind, r.field) == ("accumulate", "protocol"))
+    rows = spark.createDataFrame([("p", "series", "f", 2, i, i, 0, str(i)) for i in range(5)], "path string, kind string, field string, cap int, ord long, ts long, dir int, value string")
+    assert [rollups.of_fields(rows, n).first().kept for n in (1, 3, None)] == ["4@4/0", "3@3/0,4@4/0", "3@3/0,4@4/0"]
+
+
+def test_tree_meets_only_parents(spark):
+    """Places for paths of three levels, against a sort in Python; roots and siblings tie by creation."""
+    rows = [(f"r{r}" + "".join(f"/c{c}" for c in down), r * 7 % 5 * 10 + sum(down), r * 100 + sum(down) * 10 + len(down)) for r in range(12) for down in [(), (1,), (2,), (1, 1), (1, 2), (2, 1)]]
+    nodes = spark.createDataFrame([(p, p.rpartition("/")[0] or None, p.count("/"), b, b, 0, b, n) for p, b, n in rows], "path string, parent string, depth int, bytes long, packets long, first_seen long, last_seen long, first_packet long")
+    key = {p: (-b, n) for p, b, n in rows}
+    want = sorted(key, key=lambda p: [key["/".join(p.split("/")[: i + 1])] for i in range(p.count("/") + 1)])
+    got = forest.tree(nodes).orderBy("place").collect()
+    assert [r.path for r in got] == want and {r.path for r in got if r.last and r.depth == 2} == {p for p in want if p.endswith(("/c1/c1", "/c2/c1"))}
